@@ -26,7 +26,7 @@ BLOCK_WORDS = 2048
 #: Blocks that the budget has at least for each source.
 LEAST_BLOCKS = 2000
 #: Rows of a shard, about.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 1000
 
 
 def apportion(parties: DataFrame, by: list[str], party: list[str], votes: str, seats: str) -> DataFrame:

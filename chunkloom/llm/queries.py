@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chunkloom.llm import exact_dedup, mixing
+from chunkloom.llm import exact_dedup, mixing, packing, substring_dedup
 
-_MODULES = (mixing, exact_dedup)
+_MODULES = (packing, mixing, exact_dedup, substring_dedup)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
