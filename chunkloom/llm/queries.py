@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chunkloom.llm import exact_dedup, language_id, mixing, ngram_join, packing, substring_dedup
+from chunkloom.llm import exact_dedup, html_extraction, language_id, mixing, nearest, ngram_join, packing, substring_dedup
 
-_MODULES = (language_id, packing, mixing, ngram_join, exact_dedup, substring_dedup)
+_MODULES = (language_id, packing, mixing, nearest, ngram_join, exact_dedup, substring_dedup, html_extraction)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
