@@ -4,9 +4,14 @@ Vectors are scaled to length one, so the largest cosine is the smallest distance
 vectors are one entry of the index, with the few smallest ids that a result can name;
 so a vector that a third of all rows share costs one entry. Coarse centroids and
 codebooks are fitted on a bounded sample; every vector is indexed. A query visits the
-cells of its nearest centroids, ranks their entries by asymmetric distances (a table of
-distances between its residual and the codewords), and the best are ranked again by
-the exact cosine of the original vectors. Large cells are cut into blocks.
+cells of its nearest centroids, ranks their entries by asymmetric distances (tables of
+what the query has in common with the codewords), and the best are ranked again by
+the exact cosine of the original vectors.
+
+How many cells a query visits is measured, not guessed: against brute force over the
+sample, so many that ``RECALL`` of the true neighbours lie in them. The inverted file
+is dealt into shards by a hash of the entry, each with its part of every cell's list,
+so a cell that many vectors fall into makes no large shard.
 """
 
 from __future__ import annotations
@@ -25,12 +30,12 @@ from chunkloom.llm._common import table, written
 FIT_ROWS = 20_000
 #: Cells, at most; there are about as many as the root of the number of entries.
 MOST_CELLS = 4096
-#: Cells that a query visits at least.
-PROBES = 24
+#: Share of true neighbours, on the sample, whose cells a query must visit.
+RECALL = 0.97
 #: Entries that a query ranks exactly.
-RERANKED = 120
-#: Entries of a cell that are searched together.
-BLOCK = 5000
+RERANKED = 300
+#: Entries of a shard, about.
+SHARD = 2500
 _PARTS = 16
 
 
@@ -69,14 +74,25 @@ class Quantiser:
         rest = vectors - self.cells[cell]
         return cell, np.stack([_nearest(rest[:, p].astype(np.float32), b) for p, b in zip(self.parts, self.books, strict=True)], 1).astype(np.uint8)
 
-    def distances(self, query: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric: the query's exact residual against the codewords."""
-        rest = query - self.cells[cell]
+    def constant(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The part of an entry's distance that no query changes: |r|^2 + 2 c r for its centroid c and coded rest r."""
         out = np.zeros(len(codes))
         for k, (p, book) in enumerate(zip(self.parts, self.books, strict=True)):
-            out += ((rest[p] - book) ** 2).sum(1)[codes[:, k]]
+            out += (book**2).sum(1)[codes[:, k]] + 2 * (self.cells[cell][:, p] * book[codes[:, k]]).sum(1)
         return out
 
+    def probes(self, sample: np.ndarray, k: int, share: float, asked: int = 200) -> int:
+        """How many nearest cells hold ``share`` of the k true neighbours of some sample vectors."""
+        asks = sample[:asked]
+        alike = asks @ sample.T
+        alike[np.arange(len(asks)), np.arange(len(asks))] = -np.inf
+        true = np.argpartition(-alike, min(k, len(sample) - 1) - 1, axis=1)[:, :k] if len(sample) > 1 else np.zeros((len(asks), 1), int)
+        order = np.argsort(((self.cells[None] - asks[:, None]) ** 2).sum(2), axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(order.shape[1])[None], axis=1)
+        at = np.take_along_axis(rank, _nearest(sample, self.cells)[true], axis=1)
+        return int(np.quantile(at, share, method="higher")) + 1
+
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     """Vectors of a list column as rows of doubles."""
@@ -94,7 +110,7 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
-def neighbours(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES, reranked: int = RERANKED) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, reranked: int = RERANKED) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each row that queries (a condition on ``id``) holds for.
 
     Candidates are all rows but the query's own. Vectors that are null or zero, hold a
@@ -122,8 +138,11 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "v
     sample = entries.where(F.pmod(F.xxhash64("entry"), F.lit(1_000_000)) < share * 1_000_000).select("vec").orderBy(F.xxhash64("vec")).limit(2 * FIT_ROWS).toArrow()
     if not sample.num_rows:
         sample = entries.select("vec").limit(1000).toArrow()
-    quantiser = Quantiser(_unit(_matrix(sample["vec"], dim)), cells)
+    fitted = _unit(_matrix(sample["vec"], dim))
+    quantiser = Quantiser(fitted, cells)
+    probes = quantiser.probes(fitted, k, recall)
     sent = spark.sparkContext.broadcast(quantiser)
+    shards = max(1, math.ceil(total / SHARD))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,45 +153,43 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "v
     index = written(entries.select("entry", "vec").mapInArrow(encode, "entry long, cell int, code binary"), "nearest-index")
     sizes = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # a row for each cell
     count = np.array([sizes.get(c, 0) for c in range(len(quantiser.cells))])
-    blocks = np.maximum(1, -(-count // BLOCK))
+    # of the entries that are ranked exactly a shard holds an even part by its hash; it sends three times that and some more
+    part = min(reranked, math.ceil(3 * reranked / shards) + k + 5)
 
     asked = rows.where(queries).select("id", "vec").distinct()
     asked = written(asked.join(entries.select("entry", "vec"), "vec").select("id", "entry"), "nearest-asked")
     wanted = asked.select("entry").distinct()
+    every = F.sequence(F.lit(0), F.lit(shards - 1))
+    asks = entries.select("entry", "vec").join(wanted, "entry", "left_semi").select(F.col("entry").alias("query"), F.explode(every).alias("shard"), "vec")
+    lists = index.withColumn("shard", F.pmod(F.xxhash64("entry", F.lit(1)), F.lit(shards)).cast("int"))
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            units = _unit(_matrix(batch.column(1), dim))
-            for entry, unit in zip(batch.column(0).to_pylist(), units, strict=True):
-                order = np.argsort(((sent.value.cells - unit) ** 2).sum(1), kind="stable")
-                enough = int(np.searchsorted(np.cumsum(count[order]), 4 * (k + 1))) + 1
-                for c in order[: max(probes, enough)]:
-                    for b in range(blocks[c]):
-                        for held, x in zip(out, (entry, int(c), b, unit), strict=True):
-                            held.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.float64()))], ["query", "cell", "block", "unit"])
-
-    visits = entries.select("entry", "vec").join(wanted, "entry", "left_semi").mapInArrow(visit, "query long, cell int, block int, unit array<double>")
-    part = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1) if blocks.max() > 1 else F.lit(1)
-    blocked = index.withColumn("block", F.pmod(F.xxhash64("entry", F.lit(1)), part).cast("int"))
-
-    def search(entries_: pa.Table, asks: pa.Table) -> pa.Table:
+    def search(held: pa.Table, asks: pa.Table) -> pa.Table:
         out: tuple[list, ...] = ([], [], [])
-        if entries_.num_rows and asks.num_rows:
-            cell = entries_["cell"][0].as_py()
-            names = entries_["entry"].to_numpy()
-            codes = np.frombuffer(b"".join(entries_["code"].to_pylist()), np.uint8).reshape(len(names), -1)
-            for query, unit in zip(asks["query"].to_pylist(), _matrix(asks["unit"], dim), strict=True):
-                far = sent.value.distances(unit, cell, codes)
-                best = np.lexsort((names, far))[:reranked]
+        if held.num_rows and asks.num_rows:
+            q = sent.value
+            held = held.sort_by([("entry", "ascending")])
+            names, cell = held["entry"].to_numpy(), held["cell"].to_numpy()
+            codes = np.frombuffer(b"".join(held["code"].to_pylist()), np.uint8).reshape(len(names), -1)
+            fixed = q.constant(cell, codes)
+            for query, unit in zip(asks["query"].to_pylist(), _unit(_matrix(asks["vec"], dim)), strict=True):
+                away = ((q.cells - unit) ** 2).sum(1)
+                order = np.argsort(away, kind="stable")
+                # cells are visited until they hold some entries more than are asked for
+                enough = int(np.searchsorted(np.cumsum(count[order]), 4 * (k + 1))) + 1
+                visited = np.zeros(len(count), bool)
+                visited[order[: max(probes, enough)]] = True
+                own = np.flatnonzero(visited[cell])
+                far = away[cell[own]] + fixed[own]
+                for m, (p, book) in enumerate(zip(q.parts, q.books, strict=True)):
+                    far -= 2 * (book @ unit[p])[codes[own, m]]
+                best = np.argsort(far, kind="stable")[:part]
                 out[0].append(np.full(len(best), query))
-                out[1].append(names[best])
+                out[1].append(names[own[best]])
                 out[2].append(far[best])
         arrays = [np.concatenate(x) if x else np.zeros(0) for x in out]
         return pa.table({"query": pa.array(arrays[0].astype(np.int64)), "entry": pa.array(arrays[1].astype(np.int64)), "far": pa.array(arrays[2].astype(np.float64))})
 
-    found = blocked.groupBy("cell", "block").cogroup(visits.groupBy("cell", "block")).applyInArrow(search, "query long, entry long, far double")
+    found = lists.groupBy("shard").cogroup(asks.groupBy("shard")).applyInArrow(search, "query long, entry long, far double")
     near = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("far", "entry"))).where(F.col("r") <= reranked).select("query", "entry")
     near = near.unionByName(wanted.select(F.col("entry").alias("query"), "entry")).distinct()
     pairs = near.join(entries.select("entry", "ids", F.col("vec").alias("c_vec")), "entry").join(entries.select(F.col("entry").alias("query"), F.col("vec").alias("q_vec")), "query")
@@ -187,8 +204,8 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "v
     # of each query's entries, ids in the order of the result: k + 1 are enough, as only the query's own is left out
     named = scored.select("query", "score", F.explode("ids").alias("vec_id"))
     top = named.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
-    lists = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("best"))
-    mine = asked.join(written(lists, "nearest-lists"), F.col("entry") == F.col("query")).select(F.col("id").alias("query_id"), F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("id")), 1, k).alias("best"))
+    best = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("best"))
+    mine = asked.join(written(best, "nearest-best"), F.col("entry") == F.col("query")).select(F.col("id").alias("query_id"), F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("id")), 1, k).alias("best"))
     return mine.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"))
 
 
