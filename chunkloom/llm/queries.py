@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chunkloom.llm import exact_dedup, html_extraction, language_id, mixing, nearest, ngram_join, packing, pii, substring_dedup
+from chunkloom.llm import exact_dedup, html_extraction, language_id, mixing, nearest, ngram_join, packing, pii, quality, substring_dedup
 
-_MODULES = (language_id, packing, mixing, nearest, ngram_join, pii, exact_dedup, substring_dedup, html_extraction)
+_MODULES = (language_id, packing, mixing, quality, nearest, ngram_join, pii, exact_dedup, substring_dedup, html_extraction)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
