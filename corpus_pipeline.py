@@ -1,13 +1,76 @@
-"""A corpus pipeline of the training-data operators: each stage works on what the one before kept."""
+"""From raw documents to packed training sequences, by the operators for training data.
+
+Each stage works on everything that the stage before kept, and is judged on that input:
+language identification, exact dedup, near-duplicate removal by the n-gram Jaccard
+join, mixing to source weights, packing into sequences. All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chunkloom.llm import exact_dedup as exact
+from chunkloom.llm import language_id, mixing, ngram_join, packing
+from chunkloom.llm._common import WORD, table, word_count, written
+
+#: A document whose language is less probable than this is rejected.
+LEAST_SCORE = 0.5
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; those without letters or with an unsure language go."""
+    found = language_id.identified(docs, language_id.learned(docs))
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the largest id."""
+    return exact.exact_dedup(docs)
+
+
+def thin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, the one with the smallest id; documents without an id stay."""
+    classes = ngram_join.similarity_classes(docs)
+    stay = classes.where("id = component").select(F.col("id").alias("doc_id")).distinct()
+    return docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes: a document once, or its first words, or twice, the second time maybe its first words.
+
+    A text that is taken whole is unchanged; the words of a part are joined by one space.
+    """
+    taken = mixing.mixed(docs)
+    # rows that share id and size take their places in any order
+    taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("id", "size").orderBy("taken"))).select(F.col("id").alias("_id"), F.col("size").alias("_size"), F.col("_n").alias("_m"), "taken")
+    sized = docs.withColumn("_words", word_count(F.col("text")))
+    sized = sized.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy(F.xxhash64("text"))))
+    joined = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")) & (F.col("_n") == F.col("_m")))
+    # one row for each time round: how many of its words it takes
+    rounds = F.when(F.col("taken") > F.col("_words"), F.array(F.col("_words"), F.col("taken") - F.col("_words"))).otherwise(F.array(F.col("taken")))
+    each = joined.withColumn("_take", F.explode(rounds)).where((F.col("_take") > 0) | (F.col("_words") == 0))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take").cast("int")), " ")
+    text = F.when(F.col("_take") >= F.col("_words"), F.col("text")).otherwise(part)
+    return each.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
 
-STAGES: list = []
+STAGES = [("language_id", identify), ("exact_dedup", dedupe), ("ngram_join", thin), ("mixing", mix), ("packing", pack)]
 
+#: Language identification and packing are no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on documents, each stage's result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
