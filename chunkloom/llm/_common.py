@@ -1,60 +1,16 @@
-"""Shared helpers of the training-data operators: scratch tables, sizes, seeded order."""
+"""Shared helpers of the training-data operators: tables, sizes, seeded order."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a maximal run of characters other than space and U+0009 to U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_scratch: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
+from chunkloom.sources.scratch import written
 
-    Only where that is unset (single-machine tests) a temporary folder is made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _own_scratch:
-            _own_scratch.append(tempfile.mkdtemp(prefix="chunkloom-"))
-            atexit.register(shutil.rmtree, _own_scratch[0], ignore_errors=True)
-        root = f"file://{_own_scratch[0]}"
-    return f"{root.rstrip('/')}/chunkloom-{spark.sparkContext.applicationId}"
+__all__ = ["WORD", "seeded_key", "shuffle_partitions", "table", "word_count", "written"]
 
-
-def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Writes df as Parquet in the shared scratch folder and reads it back.
-
-    This cuts lineage: after the loss of an executor the table is read again
-    instead of being computed again. The folder goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    out = df.coalesce(partitions) if partitions else df
-    out.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    jvm_path = jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/chunkloom-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+#: A word is a maximal run of characters other than space and U+0009 to U+000D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
