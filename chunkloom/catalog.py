@@ -1,10 +1,590 @@
-"""Queries of the engine's own operators with the SQL that checks them."""
+"""Queries of the engine's own operators, over whole tables, with the SQL that checks them."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from chunkloom.functions import bits
+from chunkloom.operators import encodings as enc
+from chunkloom.operators import layout, profile
+from chunkloom.operators.order import batched
+from chunkloom.plans import chunk as chunks
+from chunkloom.plans import planner
+from chunkloom.sources import store
+from chunkloom.sources.scratch import scratch_dir
+from chunkloom.streaming import flows
+from chunkloom.types import TYPES
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+BATCH = 1000
+_MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz))"
+
+_EV = f"""ev AS (
+  SELECT event_id, user_id, epoch_us(ts) AS ts_us, value, event_type, row_number() OVER (ORDER BY event_id) - 1 AS row_idx,
+         (row_number() OVER (ORDER BY event_id) - 1) // {BATCH} AS batch_id FROM events)"""
+_OD = f"""od AS (
+  SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx,
+         (row_number() OVER (ORDER BY o_orderkey) - 1) // {BATCH} AS batch_id FROM orders)"""
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", F.expr(_MICROS).alias("ts_us"), "value", "event_type")
+    return batched(rows, ["event_id"], BATCH)
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    return batched(rows, ["o_orderkey"], BATCH)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name, with its SQL if there is any."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- linear encodings
+
+
+@query("SELECT event_id, (CASE WHEN event_id % 10 = 0 THEN 0.0::DOUBLE ELSE value END)::BIT::BIGINT AS value_bits FROM events")
+def canonicalize_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """-0.0 (put into every tenth row) as 0.0, shown by the bits."""
+    x = F.when(F.col("event_id") % 10 == 0, F.lit(-0.0)).otherwise(F.col("value"))
+    return _table(spark, sf_dir, "events").select("event_id", bits.double_bits(bits.canonical_zero(x)).alias("value_bits"))
+
+
+@query("SELECT event_id, value::BIT::BIGINT AS double_bits, value::FLOAT::BIT::INTEGER AS float_bits, value AS back FROM events")
+def bit_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").withColumn("b", bits.double_bits(F.col("value")))
+    return rows.select("event_id", F.col("b").alias("double_bits"), bits.float_bits(F.col("value")).alias("float_bits"), bits.bits_double(F.col("b")).alias("back"))
+
+
+@query(f"WITH {_EV} SELECT row_idx, user_id - coalesce(lag(user_id, 2) OVER (PARTITION BY batch_id ORDER BY row_idx), 0) AS d FROM ev")
+def delta_order_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.delta(_events(spark, sf_dir), "user_id", 2).select("row_idx", "d")
+
+
+@query(f"WITH {_EV} SELECT row_idx, user_id AS x FROM ev")
+def delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.undelta(enc.delta(_events(spark, sf_dir), "user_id", 2), "d", 2).select("row_idx", "x")
+
+
+_EDGE = "CASE o_custkey % 3 WHEN 0 THEN 9223372036854775807 WHEN 1 THEN -9223372036854775808 ELSE o_custkey END"
+
+
+@query(
+    f"""WITH {_OD}, x AS (SELECT row_idx, batch_id, ({_EDGE})::HUGEINT AS v FROM od),
+    d AS (SELECT row_idx, v - coalesce(lag(v) OVER (PARTITION BY batch_id ORDER BY row_idx), 0) AS d FROM x)
+    SELECT row_idx, (CASE WHEN d > 9223372036854775807 THEN d - 18446744073709551616 WHEN d < -9223372036854775808 THEN d + 18446744073709551616 ELSE d END)::BIGINT AS d FROM d"""
+)
+def delta_wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas between the ends of the range of 64-bit integers."""
+    edge = F.expr("CASE o_custkey % 3 WHEN 0 THEN 9223372036854775807L WHEN 1 THEN (-9223372036854775807L - 1L) ELSE o_custkey END")
+    return enc.delta(_orders(spark, sf_dir).withColumn("v", edge), "v").select("row_idx", "d")
+
+
+@query(f"WITH {_EV}, b AS (SELECT *, value::BIT::BIGINT AS v FROM ev) SELECT row_idx, xor(v, coalesce(lag(v) OVER (PARTITION BY batch_id ORDER BY row_idx), 0)) AS d FROM b")
+def xor_delta_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.xor_delta(_events(spark, sf_dir).withColumn("v", bits.double_bits(F.col("value"))), "v").select("row_idx", "d")
+
+
+@query(f"WITH {_EV} SELECT row_idx, value FROM ev")
+def xor_delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = enc.xor_delta(_events(spark, sf_dir).withColumn("v", bits.double_bits(F.col("value"))), "v")
+    return enc.unxor_delta(coded, "d").select("row_idx", bits.bits_double(F.col("x")).alias("value"))
+
+
+_RUNS = f"""WITH {_OD}, m AS (
+  SELECT *, CASE WHEN o_orderstatus IS DISTINCT FROM lag(o_orderstatus) OVER w OR row_idx % {BATCH} = 0 THEN 1 ELSE 0 END AS new FROM od WINDOW w AS (PARTITION BY batch_id ORDER BY row_idx)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY batch_id ORDER BY row_idx) AS run FROM m)"""
+
+
+@query(_RUNS + " SELECT batch_id, min(row_idx) AS start, any_value(o_orderstatus) AS value, count(*) AS n FROM r GROUP BY batch_id, run")
+def rle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.rle(_orders(spark, sf_dir), "o_orderstatus").select("batch_id", "start", "value", "n")
+
+
+@query(f"WITH {_OD} SELECT batch_id, row_idx, o_orderstatus AS value FROM od")
+def rle_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.unrle(enc.rle(_orders(spark, sf_dir), "o_orderstatus"))
+
+
+_CODES = f"""WITH {_OD}, f AS (SELECT batch_id, o_custkey, min(row_idx) AS first_row FROM od GROUP BY ALL),
+e AS (SELECT batch_id, o_custkey, row_number() OVER (PARTITION BY batch_id ORDER BY first_row) - 1 AS code FROM f)"""
+
+
+@query(_CODES + " SELECT od.row_idx, e.code FROM od JOIN e ON od.batch_id = e.batch_id AND od.o_custkey = e.o_custkey")
+def dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.dictionary(_orders(spark, sf_dir), "o_custkey")[1].select("row_idx", "code")
+
+
+@query(_CODES + " SELECT batch_id, code, o_custkey AS value FROM e")
+def dictionary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.dictionary(_orders(spark, sf_dir), "o_custkey")[0]
+
+
+@query(f"WITH {_OD} SELECT row_idx, o_custkey AS value FROM od")
+def dictionary_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, codes = enc.dictionary(_orders(spark, sf_dir), "o_custkey")
+    return enc.undictionary(entries, codes).select("row_idx", "value")
+
+
+_DELTAS = f"WITH {_OD}, d AS (SELECT row_idx, batch_id, o_custkey, o_custkey - coalesce(lag(o_custkey) OVER (PARTITION BY batch_id ORDER BY row_idx), 0) AS d FROM od), z AS (SELECT *, xor(d * 2, d >> 63) AS u FROM d)"
+
+
+def _zigzags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.delta(_orders(spark, sf_dir), "o_custkey").withColumn("u", bits.zigzag(F.col("d")))
+
+
+@query(_DELTAS + " SELECT row_idx, u FROM z")
+def zigzag_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zigzags(spark, sf_dir).select("row_idx", "u")
+
+
+@query(_DELTAS + " SELECT row_idx, d FROM z")
+def zigzag_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zigzags(spark, sf_dir).select("row_idx", bits.unzigzag(F.col("u")).alias("d"))
+
+
+@query(_DELTAS + " SELECT row_idx, greatest(1, ceil(length(CASE WHEN u = 0 THEN '0' ELSE ltrim(bin(u), '0') END) / 7.0))::INTEGER AS n_bytes FROM z")
+def leb128_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zigzags(spark, sf_dir).select("row_idx", bits.leb128_size(F.col("u")).alias("n_bytes"))
+
+
+@query(
+    _DELTAS
+    + """, s AS (SELECT row_idx, u, greatest(1, ceil(length(CASE WHEN u = 0 THEN '0' ELSE ltrim(bin(u), '0') END) / 7.0))::INTEGER AS n FROM z)
+    SELECT row_idx, array_to_string([lpad(hex((((u >> (7 * j)) & 127) + CASE WHEN j = n - 1 THEN 0 ELSE 128 END)::BIGINT), 2, '0') FOR j IN range(n)], '') AS bytes FROM s"""
+)
+def leb128_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zigzags(spark, sf_dir).select("row_idx", bits.leb128_hex(F.col("u")).alias("bytes"))
+
+
+@query(
+    f"""WITH {_EV} SELECT batch_id, count(*) AS rows, string_agg(lpad(ltrim(bin(user_id), '0'), 20, '0'), '' ORDER BY row_idx DESC) AS packed_bits,
+    ceil(count(*) * 20 / 8.0)::BIGINT AS packed_bytes FROM ev GROUP BY batch_id"""
+)
+def bitpack_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.bitpacked(_events(spark, sf_dir), "user_id", 20)
+
+
+@query(f"WITH {_OD} SELECT batch_id, p::INTEGER AS plane, row_idx, ((o_custkey >> (8 * p)) & 255)::INTEGER AS byte FROM od, unnest(range(8)) AS t(p)")
+def byte_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.byte_shuffled(_orders(spark, sf_dir), "o_custkey")
+
+
+@query(f"WITH {_OD} SELECT batch_id, row_idx, o_custkey AS x FROM od")
+def byte_unshuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.byte_unshuffled(enc.byte_shuffled(_orders(spark, sf_dir), "o_custkey"))
+
+
+def _coded(column: str, kind: str, plan: list[dict]) -> Query:
+    """Encodes each batch of a column of events as bytes, decodes it, and returns the rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = TYPES[kind]
+
+        def both(group: pa.Table) -> pa.Table:
+            data = group[column].to_numpy().astype(t.dtype).tobytes()
+            back = planner.decode(plan, planner.encode(plan, data, t), t, len(group))
+            return group.set_column(group.schema.get_field_index(column), column, pa.array(np.frombuffer(back, t.dtype)).cast(group[column].type))
+
+        rows = _events(spark, sf_dir).select("batch_id", "row_idx", column)
+        return rows.groupBy("batch_id").applyInArrow(both, rows.schema).select("row_idx", column)
+
+    return run
+
+
+for _name, _column, _kind, _plan in (
+    ("zstd_roundtrip", "ts_us", "Int64", [{"op": "Zstd", "level": 3}]),
+    ("ans_roundtrip", "user_id", "Int64", [{"op": "Delta", "order": 1}, {"op": "ZigZag"}, {"op": "Leb128"}, {"op": "Ans"}]),
+    ("bitpack_roundtrip", "user_id", "UInt64", [{"op": "BitPack", "bit_width": 20}, {"op": "Zstd", "level": 3}]),
+    ("shuffle_roundtrip", "value", "Float64", [{"op": "CanonicalizeZeros"}, {"op": "BitCast", "to_type": "UInt64"}, {"op": "XorDelta"}, {"op": "Zstd", "level": 3}]),
+):
+    QUERIES[_name] = _coded(_column, _kind, _plan)
+    ORACLE_SQL[_name] = f"WITH {_EV} SELECT row_idx, {_column} FROM ev"
+
+
+# ---------------------------------------------------------------- nulls and zeros
+
+_NULLED = "CASE WHEN event_type = 'error' THEN NULL ELSE user_id END"
+
+
+def _nulled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).withColumn("v", F.expr(_NULLED))
+
+
+@query(f"WITH {_EV} SELECT batch_id, count(*) AS rows, count({_NULLED}) AS valid_rows FROM ev GROUP BY batch_id")
+def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nulled(spark, sf_dir).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("v").isNotNull()).alias("valid_rows"))
+
+
+@query(f"WITH {_EV}, n AS (SELECT *, {_NULLED} AS v FROM ev) SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY row_idx) - 1 AS pos, v AS value FROM n WHERE v IS NOT NULL")
+def extract_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.extract_nulls(_nulled(spark, sf_dir), "v")[1]
+
+
+@query(f"WITH {_EV} SELECT batch_id, row_idx, coalesce({_NULLED}, -1) AS value FROM ev")
+def null_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values back in their places; -1 shows the nulls."""
+    return enc.scattered(*enc.extract_nulls(_nulled(spark, sf_dir), "v")).withColumn("value", F.coalesce("value", F.lit(-1)))
+
+
+_ZEROED = "CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE o_custkey END"
+
+
+def _zeroed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).withColumn("v", F.expr(_ZEROED).cast("long"))
+
+
+@query(f"WITH {_OD}, n AS (SELECT *, {_ZEROED} AS v FROM od) SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY row_idx) - 1 AS pos, v AS value FROM n WHERE v <> 0")
+def sparsify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.sparsify(_zeroed(spark, sf_dir), "v")[1]
+
+
+@query(f"WITH {_OD} SELECT batch_id, row_idx, ({_ZEROED})::BIGINT AS value FROM od")
+def desparsify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.scattered(*enc.sparsify(_zeroed(spark, sf_dir), "v"), F.lit(0))
+
+
+# ---------------------------------------------------------------- profiles
+
+
+@query(
+    f"""WITH {_OD}, x AS (SELECT batch_id, row_idx, 'o_custkey' AS column_name, o_custkey AS x FROM od UNION ALL SELECT batch_id, row_idx, 'v', {_ZEROED} FROM od),
+    d AS (SELECT *, x - lag(x) OVER (PARTITION BY batch_id, column_name ORDER BY row_idx) AS d FROM x),
+    w AS (SELECT *, xor(x * 2, x >> 63) AS zx, xor(d * 2, d >> 63) AS zd FROM d)
+    SELECT batch_id, column_name, count(*) AS rows, count(x) AS valid, min(x) = max(x) AS is_constant, count(DISTINCT x) AS distinct_values, count(DISTINCT x) <= 256 AS low_cardinality,
+           max(CASE WHEN zx = 0 THEN 0 ELSE length(ltrim(bin(zx), '0')) END)::INTEGER AS bit_width, count(DISTINCT d) AS delta_distinct, count(DISTINCT d) <= 8 AS delta_low_cardinality,
+           max(CASE WHEN zd = 0 THEN 0 ELSE length(ltrim(bin(zd), '0')) END)::INTEGER AS delta_bit_width,
+           count(*) FILTER (x = 0) >= 0.4 * count(x) AND count(*) FILTER (x = 0) < count(x) AS sparse
+    FROM w GROUP BY batch_id, column_name"""
+)
+def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.profile_columns(_zeroed(spark, sf_dir), ["o_custkey", "v"])
+
+
+_ACF = f"""WITH {_EV}, y AS (SELECT batch_id, row_idx, value - avg(value) OVER (PARTITION BY batch_id) AS y FROM ev),
+p AS (SELECT batch_id, sum(y * y) AS power FROM y GROUP BY batch_id),
+a AS (SELECT s.batch_id, s.lag, s.s / p.power AS acf FROM (
+  SELECT u.batch_id, l.lag, sum(u.y * v.y) AS s FROM y u, unnest(range(1, 17)) AS l(lag), y v WHERE v.batch_id = u.batch_id AND v.row_idx = u.row_idx - l.lag GROUP BY ALL) s JOIN p USING (batch_id))"""
+
+
+@query(_ACF + " SELECT batch_id, lag::INTEGER AS lag, round(acf, 6) AS acf FROM a")
+def autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.autocorrelation(_events(spark, sf_dir), "value", 17).select("batch_id", "lag", F.round("acf", 6).alias("acf"))
+
+
+_PERIODIC = "event_id % 5 * (event_id % 5) + user_id / 1000.0"
+
+
+@query(
+    f"""WITH {_EV}, x AS (SELECT batch_id, row_idx, {_PERIODIC} AS v FROM ev), y AS (SELECT batch_id, row_idx, v - avg(v) OVER (PARTITION BY batch_id) AS y FROM x),
+    p AS (SELECT batch_id, sum(y * y) AS power FROM y GROUP BY batch_id),
+    a AS (SELECT u.batch_id, l.lag, sum(u.y * v.y) AS s FROM y u, unnest(range(1, 17)) AS l(lag), y v WHERE v.batch_id = u.batch_id AND v.row_idx = u.row_idx - l.lag GROUP BY ALL),
+    r AS (SELECT a.batch_id, lag, round(s / power, 9) AS acf, row_number() OVER (PARTITION BY a.batch_id ORDER BY round(s / power, 9) DESC, lag) AS k FROM a JOIN p USING (batch_id))
+    SELECT batch_id, (CASE WHEN acf > 0.25 THEN lag ELSE 1 END)::INTEGER AS stride FROM r WHERE k = 1"""
+)
+def stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).withColumn("v", F.expr(_PERIODIC).cast("double"))
+    return profile.stride(profile.autocorrelation(rows, "v", 17))
+
+
+@query()
+def discover_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch looks like: by a made-up period of five, and by the values as they are."""
+    rows = _events(spark, sf_dir).withColumn("v", F.expr(_PERIODIC).cast("double"))
+    periodic = profile.structure(rows, "v", False).withColumn("column_name", F.lit("v"))
+    return periodic.unionByName(profile.structure(rows, "value", False).withColumn("column_name", F.lit("value")))
+
+
+@query(
+    """WITH s AS (SELECT unnest([(o_custkey >> (8 * p)) & 255 FOR p IN range(8)])::INTEGER AS symbol FROM orders),
+    c AS (SELECT symbol, count(*) AS n FROM s GROUP BY symbol), t AS (SELECT *, sum(n) OVER ()::BIGINT AS total FROM c),
+    b AS (SELECT *, n * 4096 // total AS base, n * 4096 % total AS rest FROM t), l AS (SELECT *, 4096 - sum(base) OVER () AS spare, row_number() OVER (ORDER BY rest DESC, symbol) AS r FROM b),
+    f AS (SELECT symbol, n, base + CASE WHEN r <= spare THEN 1 ELSE 0 END AS freq FROM l), g AS (SELECT *, count(*) FILTER (freq = 0) OVER () AS none, row_number() OVER (ORDER BY freq DESC, symbol) AS top FROM f)
+    SELECT symbol, n, (CASE WHEN freq = 0 THEN 1 WHEN top = 1 THEN freq - none ELSE freq END)::BIGINT AS freq FROM g"""
+)
+def ans_frequency_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planes = F.explode(F.array(*[bits.byte_plane(F.col("o_custkey"), F.lit(p)) for p in range(8)]))
+    return profile.symbol_frequencies(_table(spark, sf_dir, "orders").select(planes.alias("symbol")), "symbol")
+
+
+# ---------------------------------------------------------------- layouts
+
+
+@query(f"WITH {_EV} SELECT row_idx, row_number() OVER (PARTITION BY batch_id ORDER BY user_id, ts_us, row_idx) - 1 AS pos FROM ev")
+def relinearize_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.series_position(_events(spark, sf_dir), "user_id", "ts_us").select("row_idx", "pos")
+
+
+@query("SELECT event_id, value FROM events")
+def relinearize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys, series = layout.relinearized(_events(spark, sf_dir), "user_id", "ts_us", ["event_id", "value"])
+    return layout.delinearized(keys, series, "user_id", "ts_us").select("event_id", "value")
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY ts) AS types, count(*) AS n FROM events GROUP BY user_id")
+def stream_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layout.series(_events(spark, sf_dir), "user_id", "ts_us", ["event_type"])
+    return found.select("user_id", F.array_join("event_type", ",").alias("types"), F.size("event_type").cast("long").alias("n"))
+
+
+_SEGMENTS = "WITH s AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 20 AS segment FROM events) SELECT user_id, segment, count(*) AS rows, min(event_id) AS first_event, max(event_id) AS last_event FROM s GROUP BY ALL"
+
+
+def _segment_report(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("user_id", "segment").agg(F.count(F.lit(1)).alias("rows"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+
+
+@query(_SEGMENTS)
+def partition_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segment_report(layout.segments(_table(spark, sf_dir, "events"), "user_id", 20, ["event_id"]))
+
+
+@query(_SEGMENTS)
+def salted_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same segments, ranked in ranges of rows, so that a large key is no single window."""
+    return _segment_report(layout.salted_segments(_events(spark, sf_dir), "user_id", 20, range_rows=500))
+
+
+@query("SELECT CASE WHEN event_type = 'error' THEN NULL ELSE user_id END AS k, count(*) AS rows FROM events WHERE event_type <> 'error' GROUP BY ALL")
+def index_map_drop_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").withColumn("k", F.expr(_NULLED))
+    return layout.segments(rows, "k", 1_000_000, ["event_id"], "drop").groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    f"""WITH {_OD}, m AS (SELECT batch_id, 0 AS column_idx, 'o_orderkey' AS column_name, o_orderkey AS x FROM od UNION ALL SELECT batch_id, 1, 'o_custkey', o_custkey FROM od)
+    SELECT batch_id, column_idx, column_name, count(*) AS num_rows, count(*) - count(x) AS null_count, count(*) * 8 AS raw_bytes, min(x) AS min_value, max(x) AS max_value FROM m GROUP BY ALL"""
+)
+def chunk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.manifest(_orders(spark, sf_dir), ["o_orderkey", "o_custkey"], {"o_orderkey": 8, "o_custkey": 8})
+
+
+@query("SELECT event_id, user_id, row_number() OVER (ORDER BY user_id, ts) - 1 AS row_idx, (row_number() OVER (ORDER BY user_id, ts) - 1) // 100 AS batch_id FROM events")
+def global_sort_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batched(_table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id", "ts"], 100).select("event_id", "user_id", "row_idx", "batch_id")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events) WHERE r <= 3")
+def per_key_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.per_key_limit(_table(spark, sf_dir, "events"), "user_id", ["ts"], 3).select("user_id", "event_id")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def distinct_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("user_id").distinct()
+
+
+@query("SELECT event_id, ts, value FROM events WHERE user_id = 7")
+def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").where("user_id = 7").select("event_id", "ts", "value")
+
+
+@query("SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right")
+def concat_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table against the union of its parts by key, as multisets."""
+    rows = _table(spark, sf_dir, "events")
+    union = rows.where("user_id % 2 = 0").unionByName(rows.where("user_id % 2 = 1")).unionByName(rows.where("user_id is null"))
+    return rows.exceptAll(union).agg(F.count(F.lit(1)).alias("only_left")).join(union.exceptAll(rows).agg(F.count(F.lit(1)).alias("only_right")))
+
+
+# ---------------------------------------------------------------- chunks, plans and stored tables
+
+
+@query(
+    f"""WITH {_EV}, r AS (SELECT batch_id, ts_us, row_number() OVER (PARTITION BY batch_id ORDER BY user_id, ts_us, row_idx) - 1 AS pos FROM ev),
+    d AS (SELECT batch_id, ts_us - coalesce(lag(ts_us) OVER (PARTITION BY batch_id ORDER BY pos), 0) AS d FROM r), z AS (SELECT batch_id, xor(d * 2, d >> 63) AS u FROM d),
+    n AS (SELECT batch_id, greatest(1, ceil(length(CASE WHEN u = 0 THEN '0' ELSE ltrim(bin(u), '0') END) / 7.0))::BIGINT AS n FROM z)
+    SELECT batch_id, count(*) AS rows, count(*) * 8 AS raw_bytes, sum(n)::BIGINT AS encoded_bytes, round(sum(n) / (count(*) * 8.0), 6)::DOUBLE AS ratio FROM n GROUP BY batch_id"""
+)
+def chunk_report_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of events by series: delta, zig-zag and base-128 sizes per batch, in built-in functions from the scan on."""
+    series = layout.series_position(_events(spark, sf_dir), "user_id", "ts_us")
+    before = F.lag("ts_us").over(Window.partitionBy("batch_id").orderBy("pos"))
+    size = bits.leb128_size(bits.zigzag(F.col("ts_us") - F.coalesce(before, F.lit(0))))
+    sized = series.select("batch_id", size.alias("n"))
+    out = sized.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) * 8).alias("raw_bytes"), F.sum("n").cast("long").alias("encoded_bytes"))
+    return out.withColumn("ratio", F.round(F.col("encoded_bytes") / F.col("raw_bytes"), 6))
+
+
+def _stored(spark: SparkSession, df: DataFrame, order_by: list[str], **options: object) -> str:
+    path = f"{scratch_dir(spark)}/stored-{uuid.uuid4().hex}"
+    store.write_store(df, path, order_by, **options)
+    return path
+
+
+_STORED = "SELECT event_id, ts, user_id, value FROM events"
+
+
+def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+
+
+@query(_STORED)
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.read_store(spark, _stored(spark, _source(spark, sf_dir), ["event_id"], chunk_size_rows=BATCH))
+
+
+@query(_STORED)
+def store_roundtrip_relinearized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _stored(spark, _source(spark, sf_dir), ["event_id"], chunk_size_rows=BATCH, strategy="per_batch_relinearize", stream_id_column="user_id", timestamp_column="ts")
+    return store.read_store(spark, path)
+
+
+@query(_STORED)
+def store_roundtrip_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.read_store(spark, _stored(spark, _source(spark, sf_dir), ["event_id"], strategy="partitioned", partition_key_column="user_id", partition_flush_rows=50))
+
+
+@query("SELECT event_id, value FROM events WHERE user_id = 7")
+def store_key_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One partition and two columns of a stored table; other chunks are not read."""
+    path = _stored(spark, _source(spark, sf_dir), ["event_id"], strategy="partitioned", partition_key_column="user_id", partition_flush_rows=50)
+    return store.read_store(spark, path, ["event_id", "value"], key=7)
+
+
+@query("SELECT user_id AS partition_key, count(*) AS rows FROM events GROUP BY user_id")
+def store_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.partition_keys(spark, _stored(spark, _source(spark, sf_dir), ["event_id"], strategy="partitioned", partition_key_column="user_id", partition_flush_rows=50))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_orderkey BETWEEN 100 AND 5000")
+def store_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches outside the bounds are left out by their spans before they are decoded."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    found = store.read_store(spark, _stored(spark, rows, ["o_orderkey"], chunk_size_rows=BATCH), between=("o_orderkey", 100, 5000))
+    return found.where("o_orderkey BETWEEN 100 AND 5000")
+
+
+@query("SELECT column_name, rows::BIGINT AS rows, raw_bytes::BIGINT AS raw_bytes FROM (SELECT unnest(['event_id', 'ts', 'user_id', 'value']) AS column_name, (SELECT count(*) FROM events) AS rows, (SELECT count(*) * 8 FROM events) AS raw_bytes)")
+def store_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and raw bytes from the manifest alone."""
+    path = _stored(spark, _source(spark, sf_dir), ["event_id"], chunk_size_rows=BATCH)
+    return store.size_report(store.read_manifest(spark, path)).select("column_name", "rows", "raw_bytes")
+
+
+@query()
+def size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded bytes and the usual pipeline of each column, for each layout."""
+    out = None
+    for strategy, more in (("none", {}), ("per_batch_relinearize", {"stream_id_column": "user_id", "timestamp_column": "ts"}), ("partitioned", {"partition_key_column": "user_id"})):
+        made = store.encoded(_source(spark, sf_dir), store.Options(strategy=strategy, chunk_size_rows=10 * BATCH, **more), ["event_id"])
+        part = store.size_report(made).withColumn("strategy", F.lit(strategy))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def plan_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate pipeline of user_id in each batch, with its bytes: how the planner chose."""
+
+    def explain(group: pa.Table) -> pa.Table:
+        t = TYPES["Int64"]
+        x = group.sort_by([("row_idx", "ascending")])["user_id"].to_numpy()
+        found = planner.scores(x.astype(t.dtype).tobytes(), t, t.kind, planner.LEVELS["balanced"], planner.stride_of(x))
+        names = ["+".join(o["op"] for o in p) for p, _, _ in found]
+        return pa.table({"batch_id": pa.array([group["batch_id"][0].as_py()] * len(found), pa.int64()), "pipeline": names, "sample_bytes": pa.array([s for _, s, _ in found], pa.float64()), "final_bytes": pa.array([f for _, _, f in found], pa.float64())})
+
+    return _events(spark, sf_dir).select("batch_id", "row_idx", "user_id").groupBy("batch_id").applyInArrow(explain, "batch_id long, pipeline string, sample_bytes double, final_bytes double")
+
+
+@query(f"WITH {_EV} SELECT batch_id, count(*) AS rows, 'Int64' AS type, true AS same FROM ev GROUP BY batch_id")
+def chunk_bytes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as runs of bytes: peeked at, decoded, compared with what went in."""
+
+    def both(group: pa.Table) -> pa.Table:
+        column = group.sort_by([("row_idx", "ascending")])["user_id"].combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        raw = chunks.compress(column)
+        seen = chunks.peek(raw)
+        same = chunks.decompress(raw).equals(column) and seen["total_size"] == len(raw) == seen["header_size"] + seen["data_size"]
+        return pa.table({"batch_id": group["batch_id"][:1], "rows": pa.array([seen["rows"]], pa.int64()), "type": [seen["type"]], "same": [same]})
+
+    return _events(spark, sf_dir).select("batch_id", "row_idx", "user_id").groupBy("batch_id").applyInArrow(both, "batch_id long, rows long, type string, same boolean")
+
+
+@query(
+    """SELECT n.n_name AS nation, count(*) AS orders, round(sum(o.o_totalprice), 2) AS revenue
+    FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 1000 GROUP BY n.n_name"""
+)
+def store_join_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table in a join and an aggregation, read like any other."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    orders = store.read_store(spark, _stored(spark, rows, ["o_orderkey"]), ["o_custkey", "o_totalprice"]).where("o_totalprice > 1000")
+    joined = orders.join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy(F.col("n_name").alias("nation")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    return rows.withColumn("at", F.timestamp_micros(F.expr(_MICROS)))
+
+
+def _shown(stream: DataFrame, mode: str = "append") -> DataFrame:
+    return flows.finished(stream, f"stream_{uuid.uuid4().hex}", mode)
+
+
+_VARINT = "greatest(1, ceil(length(CASE WHEN event_id = 0 THEN '0' ELSE ltrim(bin(event_id), '0') END) / 7.0))"
+
+
+@query(f"SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, count(*) AS rows, sum({_VARINT})::BIGINT AS varint_bytes, max(user_id) AS largest_key FROM events GROUP BY ALL")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _shown(flows.windowed_sizes(_stream(spark, sf_dir), "at", "user_id", "event_id"), "complete")
+    return found.select(F.unix_micros("window_start").alias("window_us"), "rows", "varint_bytes", "largest_key")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(m)) AS window_us, count(*) AS rows FROM events, unnest([0, 30]) AS t(m) GROUP BY ALL")
+def stream_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _shown(flows.windowed_sizes(_stream(spark, sf_dir), "at", "user_id", "event_id", slide="30 minutes"), "complete")
+    return found.select(F.unix_micros("window_start").alias("window_us"), "rows")
+
+
+@query(
+    """WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM m) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS rows FROM s GROUP BY user_id, k"""
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _shown(flows.sessions(_stream(spark, sf_dir), "at", "user_id"), "complete")
+    return found.select("user_id", F.unix_micros("session_start").alias("start_us"), "rows")
+
+
+@query()
+def stream_key_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full segments of 20 rows of each key, from state kept by key."""
+    found = _shown(flows.key_segments(_stream(spark, sf_dir), "user_id", ["event_id", "value"], 20))
+    return found.select("user_id", "segment", "n_rows", F.array_min("event_id").alias("first_event"))
+
+
+@query(_STORED)
+def stream_chunk_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream stored as chunks, epoch by epoch, and read back."""
+    path = f"{scratch_dir(spark)}/sink-{uuid.uuid4().hex}"
+    rows = _stream(spark, sf_dir).select("event_id", "ts", "user_id", "value")
+    rows.writeStream.foreachBatch(flows.chunk_sink(f"{path}/chunks", ["event_id"])).option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start().awaitTermination()
+    store.write_description(spark, path, rows.schema, store.Options())
+    return store.read_store(spark, path)

@@ -212,8 +212,13 @@ def write_store(df: DataFrame, path: str, order_by: list[str], mode: str = "erro
     made = encoded(df, chosen, order_by)
     # chunks are coded already; the order of rows lets statistics prune by key and batch
     made.sortWithinPartitions("partition_key", "batch_id", "column_idx").write.mode(mode).option("compression", "uncompressed").parquet(_chunk_path(path))
-    meta = {"schema": df.schema.jsonValue(), "options": asdict(chosen), "writer": __version__, "version": 1}
-    df.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode(mode).text(_meta_path(path))
+    write_description(df.sparkSession, path, df.schema, chosen, mode)
+
+
+def write_description(spark: SparkSession, path: str, schema: T.StructType, options: Options, mode: str = "error") -> None:
+    """The sidecar of a stored table."""
+    meta = {"schema": schema.jsonValue(), "options": asdict(options), "writer": __version__, "version": 1}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode(mode).text(_meta_path(path))
 
 
 def describe_store(spark: SparkSession, path: str) -> dict:
