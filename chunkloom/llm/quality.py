@@ -144,7 +144,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     languages in which no trusted text was found.
     """
     spark = docs.sparkSession
-    told = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    # a line feed parts language and text on the way
+    told = docs.select(F.col(id_col).alias("id"), F.translate(F.col(lang_col).cast("string"), "\n", " ").alias("lang"), F.col(text_col).alias("text"))
     with _filtered_early(spark):
         known = told.where("lang is not null and text is not null").join(trusted.select("id").distinct(), "id", "left_semi")
         counts = written(four_byte_counts(known), "quality-counts")
