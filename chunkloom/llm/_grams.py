@@ -129,13 +129,14 @@ def deal(grams: np.ndarray, second: np.ndarray, buckets: int) -> tuple[np.ndarra
     return first[by], count[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
 
 
-def reduced(packets: DataFrame, reduce: Callable[[list, list], tuple[list, list]], schema: str) -> DataFrame:
+def reduced(packets: DataFrame, reduce: Callable[[list, list], tuple[list, list]]) -> DataFrame:
     """Applies reduce to each bucket's packets: lists of chunks and packets in, the like out."""
 
     def one(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows["chunk"].to_numpy(), kind="stable")
         rows = rows.take(pa.array(order))
         chunks, out = reduce(rows["chunk"].to_numpy(), rows["packet"].to_pylist())
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "packet": pa.array(out, pa.binary())})
+        bucket = np.full(len(out), rows["bucket"][0].as_py(), np.int32)
+        return pa.table({"bucket": pa.array(bucket), "chunk": pa.array(chunks, pa.int64()), "packet": pa.array(out, pa.binary())})
 
-    return packets.groupBy("bucket").applyInArrow(one, schema)
+    return packets.groupBy("bucket").applyInArrow(one, "bucket int, chunk long, packet binary")

@@ -11,8 +11,8 @@ square of their size, so links are sought in turns. First every document is comp
 with one hub for each of its rarest prefix shingles; after that whole families are
 connected. Then, for each prefix shingle, only pairs whose documents are not yet in
 one component are candidates: all pairs that could still join two classes, so no
-class is missed. Every candidate pair passes the length, positional and suffix filters
-and is verified once on the whole sets.
+class is missed. Candidates pass the length and positional filters where they are
+made; each pair then passes the suffix filter and is verified once on the whole sets.
 """
 
 from __future__ import annotations
@@ -31,11 +31,11 @@ from chunkloom.llm._grams import Words, chunked, deal, reduced
 
 SHINGLE = 5
 PERCENT = 75
-#: Rarest shared prefix shingles of a document for which it is compared with a hub, in each round.
-HUB_SHINGLES = 3
+#: Hubs that a document is compared with at most in each round, and rounds.
+HUBS = 8
 HUB_ROUNDS = 2
-#: Parts of the range of hashes that the suffix filter compares.
-PARTS = 16
+#: The suffix filter compares so many bits' number of parts of the range of hashes.
+PART_BITS = 7
 
 
 def _sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,15 +52,24 @@ def _sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _pack(gram: np.ndarray, n: np.ndarray) -> bytes:
-    """Grams and then their numbers, apart, so that the many ones compress to nothing."""
-    return gram.astype("<u8").tobytes() + n.astype("<u4").tobytes()
+    """Upper 40 bits of grams and their numbers, each part apart, so that the many ones compress to nothing.
+
+    With the bucket that is enough here: two grams that agree in both count as one in
+    the order of grams, the same for all documents, and never as one when sets are
+    compared.
+    """
+    top = gram.astype(np.uint64) >> np.uint64(24)
+    return (top & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (top >> np.uint64(32)).astype("<u1").tobytes() + n.astype("<u4").tobytes()
 
 
 def _unpack(packets: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    size = [len(p) // 12 for p in packets]
-    gram = np.concatenate([np.frombuffer(p, "<u8", n) for p, n in zip(packets, size, strict=True)] or [np.zeros(0, "<u8")])
-    many = np.concatenate([np.frombuffer(p, "<u4", n, 8 * n) for p, n in zip(packets, size, strict=True)] or [np.zeros(0, "<u4")])
-    return gram, many, size
+    """The upper 40 bits as numbers, the numbers, and the entries of each packet."""
+    size = [len(p) // 9 for p in packets]
+
+    def part(kind: str, at: int) -> np.ndarray:
+        return np.concatenate([np.frombuffer(p, kind, n, at * n) for p, n in zip(packets, size, strict=True)] or [np.zeros(0, kind)])
+
+    return part("<u4", 0).astype(np.uint64) | (part("<u1", 4).astype(np.uint64) << np.uint64(32)), part("<u4", 5), size
 
 
 def _shared(chunks: np.ndarray, packets: list[bytes]) -> tuple[list[int], list[bytes]]:
@@ -74,7 +83,7 @@ def _shared(chunks: np.ndarray, packets: list[bytes]) -> tuple[list[int], list[b
     total[order] = np.repeat(sums, np.diff(np.append(head, len(gram))))
     keep = np.flatnonzero(total > 1)
     cut = np.searchsorted(owner[keep], np.arange(len(size) + 1))
-    gram, total = gram[keep], np.minimum(total[keep], 0xFFFFFFFF)
+    gram, total = gram[keep] << np.uint64(24), np.minimum(total[keep], 0xFFFFFFFF)
     found = [(int(c), _pack(gram[a:b], total[a:b])) for c, a, b in zip(chunks, cut, cut[1:], strict=False) if b > a]
     return [c for c, _ in found], [p for _, p in found]
 
@@ -108,25 +117,29 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE
         )
 
     packets = rows.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, packet binary")
-    answers = reduced(packets, _shared, "chunk long, packet binary")
+    answers = reduced(packets, _shared)
     kind = "id long, n long, sig binary, first int, toks array<long>, shared array<long>, parts array<int>"
 
     def finish(group: pa.Table, answer: pa.Table) -> pa.Table:
         ids, texts = group["id"].to_pylist(), group["text"].to_pylist()
-        gram, text, _ = _sets(texts, shingle)
-        known, df, _ = _unpack(answer["packet"].to_pylist())
+        gram, text, second = _sets(texts, shingle)
+        known, df, size = _unpack(answer["packet"].to_pylist())
+        known |= np.repeat(answer["bucket"].to_numpy().astype(np.uint64), size) << np.uint64(40)
         by = np.argsort(known)
         known, df = known[by], df[by]
         order = np.lexsort((gram, text))
         gram, bounds = gram[order], np.searchsorted(text[order], np.arange(len(texts) + 1))
+        place = (gram >> np.uint64(24)) | ((second[order] % np.uint64(buckets)) << np.uint64(40))
+        # how many documents have each gram; 1 where no answer speaks of it
+        at = np.minimum(np.searchsorted(known, place), max(0, len(known) - 1))
+        many = np.where(known[at] == place, df[at], 1) if len(known) else np.ones(len(gram), np.int64)
         out: dict[str, list] = {c: [] for c in ("n", "sig", "first", "toks", "shared", "parts")}
         for a, b in zip(bounds, bounds[1:], strict=False):
             own = gram[a:b]
-            own = own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own
+            new = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
+            own, often = own[new], many[a:b][new]
             n = len(own)
-            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-            there = known[at] == own if len(known) else np.zeros(n, bool)
-            shared, often = own[there], df[at[there]] if len(known) else own[:0]
+            shared, often = own[often > 1], often[often > 1]
             alone = n - len(shared)
             length = n - -(-percent * n // 100) + 1 if n else 0
             toks = shared[np.lexsort((shared, often))][: max(0, length - alone)]
@@ -135,7 +148,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE
             out["first"].append(alone)
             out["toks"].append(toks.view(np.int64))
             out["shared"].append(shared.view(np.int64) if len(toks) else None)
-            out["parts"].append(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=PARTS) if len(toks) else None)
+            out["parts"].append(np.bincount((own >> np.uint64(64 - PART_BITS)).astype(np.int64), minlength=1 << PART_BITS) if len(toks) else None)
         fields = {"n": pa.int64(), "sig": pa.binary(), "first": pa.int32(), "toks": pa.list_(pa.int64()), "shared": pa.list_(pa.int64()), "parts": pa.list_(pa.int32())}
         return pa.table({"id": pa.array(ids, pa.int64())} | {c: pa.array(out[c], t) for c, t in fields.items()})
 
@@ -143,14 +156,22 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE
 
 
 def _could(a: str, b: str, percent: int) -> Column:
-    """Length, positional and suffix filter of a candidate pair that shares a prefix shingle at places a.pos and b.pos."""
+    """Length and positional filter of a candidate pair that shares a prefix shingle at places a.pos and b.pos."""
     n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
     need = F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
     length = (F.least(n, m) * 100) >= (F.greatest(n, m) * percent)
-    # with the first shared shingle at these places, at most the rest of either set is shared as well
-    place = 1 + F.least(n - F.col(f"{a}_pos") - 1, m - F.col(f"{b}_pos") - 1) + F.least(F.col(f"{a}_pos"), F.col(f"{b}_pos")) >= need
+    # at the first shingle that a pair shares, at most the rest of either set can be shared as well; a pair that fails here
+    # shares an earlier one, where it is a candidate too, or is not similar
+    place = F.least(n - F.col(f"{a}_pos"), m - F.col(f"{b}_pos")) >= need
+    return length & place
+
+
+def _apart(a: str, b: str, percent: int) -> Column:
+    """Suffix filter: shingles of which one set has more in a part of the range of hashes can't be shared."""
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    need = F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
     apart = F.aggregate(F.zip_with(f"{a}_parts", f"{b}_parts", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    return length & place & (((n + m - apart) / 2) >= need)
+    return ((n + m - apart) / 2) >= need
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,45 +196,49 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = written(named.groupBy("sig").agg(F.min("id").alias("node")), "join-nodes")
     sets = named.where(F.size("toks") > 0).join(nodes.select(F.col("node").alias("id"), "sig"), ["id", "sig"]).select("id", "n", "first", "toks", "shared", "parts").dropDuplicates(["id"])
     sets = written(sets, "join-sets")
-    rows = sets.select("id", F.posexplode("toks").alias("k", "tok")).withColumn("k", F.col("k").cast("int"))
-    slim = sets.select("id", "n", "first", "parts")
-
-    # where links are sought: prefix shingles of two or more nodes
+    rows = sets.select("id", "n", F.posexplode("toks").alias("k", "tok"), "first").select("tok", "id", "n", (F.col("first") + F.col("k")).alias("pos"))
+    # prefix shingles of one node alone are of no use
     common = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok")
     rows = written(rows.join(written(common, "join-common"), "tok", "left_semi"), "join-rows")
-    links = None
-    label = slim.select("id", F.col("id").alias("label"))
+    linked, classes = None, sets.select("id", F.col("id").alias("component")).limit(0)
+    label = sets.select("id", F.col("id").alias("label"))
+
+    def side(x: str, df: DataFrame) -> DataFrame:
+        return df.select("tok", *[F.col(c).alias(f"{x}_{c}") for c in df.columns if c != "tok"])
 
-    def sides(pairs: DataFrame) -> DataFrame:
-        """Candidates (a, b, places) with what the filters need, filtered, each pair once."""
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b), once each, that pass the suffix filter and are similar."""
+        pairs = written(pairs.select("a", "b").distinct(), "join-pairs")
         for x in ("a", "b"):
-            pairs = pairs.join(slim.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("first").alias(f"{x}_first"), F.col("parts").alias(f"{x}_parts")), x)
-            pairs = pairs.withColumn(f"{x}_pos", F.col(f"{x}_first") + F.col(f"{x}_k"))
-        return pairs.where(_could("a", "b", percent)).select("a", "b").distinct()
+            pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("parts").alias(f"{x}_parts")), x)
+        passed = written(pairs.where(_apart("a", "b", percent)).select("a", "b"), "join-passed")
+        return written(_verified(passed, sets, percent), "join-links")
 
     for turn in range(HUB_ROUNDS + 1):
         told = rows.join(label, "id")
+        # shingles whose nodes are all in one class have nothing more to say
+        mixed = told.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("tok")
+        told = written(told.join(written(mixed, "join-mixed"), "tok", "left_semi"), "join-told")
+        if told.isEmpty():
+            break
         if turn < HUB_ROUNDS:
-            # hubs: for each of a node's rarest shingles that others share, the node of that shingle whose hash is smallest
-            order = F.xxhash64("id", F.lit(turn))
-            hubs = told.groupBy("tok").agg(F.min(F.struct(order.alias("o"), "id", "k", "label")).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-            hubs = written(hubs.select("tok", F.col("h.id").alias("b"), F.col("h.k").alias("b_k"), F.col("h.label").alias("hub_label")), "join-hubs")
-            found = told.join(hubs, "tok").where("id <> b and label <> hub_label")
-            own = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct("k", "b", "b_k"))), 1, HUB_SHINGLES).alias("take"))
-            pairs = own.select(F.col("id").alias("a"), F.explode("take").alias("t")).select("a", F.col("t.k").alias("a_k"), F.col("t.b").alias("b"), F.col("t.b_k").alias("b_k"))
+            # the hub of a shingle: a node of it that is linked already, if there is one, chosen by a hash
+            order = F.struct((F.col("label") == F.col("id")).cast("int"), F.xxhash64("id", "tok"), "id", "n", "pos", "label")
+            hubs = told.groupBy("tok").agg(F.min(order).alias("h")).select("tok", *[F.col(f"h.{c}").alias(f"b_{c}") for c in ("id", "n", "pos", "label")])
+            found = side("a", told).join(written(hubs, "join-hubs"), "tok").where("a_id <> b_id and a_label <> b_label").where(_could("a", "b", percent))
+            few = found.groupBy("a_id").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("a_id", "b_id").alias("o"), "b_id"))), 1, HUBS).alias("take"))
+            pairs = few.select(F.col("a_id").alias("x"), F.explode("take").alias("t")).select(F.least("x", "t.b_id").alias("a"), F.greatest("x", "t.b_id").alias("b"))
         else:
             # all pairs that could still join two classes: nodes outside a shingle's largest class against all others of it
-            sized = told.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("c"))
-            big = sized.groupBy("tok").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-            big = written(big.select("tok", F.col("m.label").alias("big")), "join-big")
-            left = told.join(big, "tok").select("tok", F.col("id").alias("x"), F.col("k").alias("xk"), F.col("label").alias("xl"), "big")
-            few = written(left.where("xl <> big").select("tok", F.col("x").alias("a"), F.col("xk").alias("a_k"), F.col("xl").alias("al")), "join-few")
-            pairs = few.join(written(left, "join-left"), "tok").where("xl <> al and (xl = big or a < x)").select("a", "a_k", F.col("x").alias("b"), F.col("xk").alias("b_k"))
-        pairs = written(sides(pairs), "join-pairs")
-        found = written(_verified(pairs, sets, percent), "join-links")
-        links = found if links is None else links.unionByName(found)
-        classes = written(components(links), "join-classes")
-        label = written(slim.select("id").join(classes, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "join-labels")
+            big = told.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("tok").agg(F.max(F.struct("c", "label")).alias("m"))
+            told = written(told.join(written(big.select("tok", F.col("m.label").alias("big")), "join-big"), "tok"), "join-sided")
+            met = (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("b_big")) | (F.col("a_id") < F.col("b_id")))
+            found = side("a", told.where("label <> big")).alias("l").join(side("b", told).alias("r"), (F.col("l.tok") == F.col("r.tok")) & met & _could("a", "b", percent))
+            pairs = found.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+        links = checked(pairs)
+        linked = links if linked is None else linked.unionByName(links)
+        classes = written(components(linked), "join-classes")
+        label = written(sets.select("id").join(classes, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "join-labels")
 
     final = nodes.join(classes.withColumnRenamed("id", "node"), "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
     final = written(final, "join-final")

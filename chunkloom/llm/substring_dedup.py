@@ -68,7 +68,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         )
 
     packets = rows.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, packet binary")
-    answers = reduced(packets, _later, "chunk long, packet binary")
+    answers = reduced(packets, _later)
     kind = "id long, n_words long, n_removed long, kept binary, removed array<struct<begin: long, end: long>>"
 
     def finish(group: pa.Table, answer: pa.Table) -> pa.Table:
