@@ -33,7 +33,7 @@ def apportion(parties: DataFrame, by: list[str], party: list[str], votes: str, s
     """Sainte-Lague seats: parties plus a long column ``won``.
 
     parties holds a row per party with votes (double) and its group's seats (long);
-    by names the group's columns, party those that break ties, smallest first. Votes
+    by names the group's columns, party the numbers that break ties, smallest first. Votes
     must not be negative; a group without votes wins nothing.
     """
     group = Window.partitionBy(*by)
@@ -42,16 +42,18 @@ def apportion(parties: DataFrame, by: list[str], party: list[str], votes: str, s
     base = base.withColumn("_left", F.when(F.col("_all") > 0, F.col(seats)).otherwise(F.lit(0)) - F.sum("_base").over(group))
     # with n parties the right divisor is within a factor 1 + n / (2 seats) of the ideal one, as rounding moves each party by
     # half a seat at most: so many seats around its rounded share can be won or lost by a party, n / 2 + 2 n in the whole group
-    reach = F.floor(F.col("_share") * F.count(F.lit(1)).over(group) / (2 * F.col(seats))).cast("long") + 2
-    turn = F.when(F.col("_left") != 0, F.sequence(F.lit(1).cast("long"), F.col("_reach"))).otherwise(F.array(F.lit(0).cast("long")))
-    base = base.withColumn("_reach", F.coalesce(reach, F.lit(2)))
-    near = base.withColumn("_turn", F.explode(turn))
+    reach = F.floor(F.try_divide(F.col("_share") * F.count(F.lit(1)).over(group), 2 * F.col(seats))).cast("long") + 2
+    base = base.withColumn("_reach", F.when(F.col("_left") != 0, F.coalesce(reach, F.lit(2))).otherwise(0))
+    near = base.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_reach"))))
     seat = F.when(F.col("_left") > 0, F.col("_base") + F.col("_turn")).otherwise(F.col("_base") - F.col("_turn") + 1)
-    near = near.withColumn("_seat", seat).where((F.col("_left") == 0) | (F.col("_seat") >= 1))
+    # turn 0 keeps a party's row and moves nothing
+    near = near.withColumn("_seat", seat).where((F.col("_turn") == 0) | (F.col("_seat") >= 1))
     quotient = F.col(votes) / (2 * F.col("_seat") - 1)
-    order = F.when(F.col("_left") < 0, quotient).otherwise(-quotient)
-    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, *party, "_turn")))
-    moved = F.sum(F.when((F.col("_left") != 0) & (F.col("_rank") <= F.abs("_left")), F.signum("_left")).otherwise(0.0)).cast("long")
+    order = F.when(F.col("_turn") > 0, -quotient * F.signum("_left"))
+    # seats go to the first party of equals, and are taken from the last
+    ties = [F.col(p) * F.signum("_left") for p in party]
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(order.asc_nulls_last(), *ties, "_turn")))
+    moved = F.sum(F.when((F.col("_turn") > 0) & (F.col("_rank") <= F.abs("_left")), F.signum("_left")).otherwise(0.0)).cast("long")
     won = ranked.groupBy(*parties.columns, "_base").agg(moved.alias("_moved"))
     return won.withColumn("won", F.col("_base") + F.col("_moved")).drop("_base", "_moved")
 
