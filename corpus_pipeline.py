@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from chunkloom.llm import exact_dedup as exact
 from chunkloom.llm import language_id, mixing, ngram_join, packing
 from chunkloom.llm._common import WORD, table, word_count, written
+from chunkloom.sources.shipping import ship
 
 #: A document whose language is less probable than this is rejected.
 LEAST_SCORE = 0.5
@@ -22,6 +23,7 @@ LEAST_SCORE = 0.5
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; those without letters or with an unsure language go."""
+    ship(spark)
     found = language_id.identified(docs, language_id.learned(docs))
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
@@ -33,6 +35,7 @@ def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def thin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, the one with the smallest id; documents without an id stay."""
+    ship(spark)
     classes = ngram_join.similarity_classes(docs)
     stay = classes.where("id = component").select(F.col("id").alias("doc_id")).distinct()
     return docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
@@ -59,6 +62,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
+    ship(spark)
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
