@@ -45,9 +45,13 @@ def decode_chunk(element: str) -> Callable:
     return decode
 
 
-@F.pandas_udf("header_size long, data_size long, total_size long, rows long, type string, streams string")
-def peek_chunk(raw: pd.Series) -> pd.DataFrame:
-    """Sizes, type and streams of chunks of bytes, without decoding any data."""
-    seen = [chunk.peek(bytes(x)) for x in raw]
+def peek_chunk() -> Callable:
+    """A function of chunks of bytes: their sizes, type and streams, without decoding any data."""
     names = ("header_size", "data_size", "total_size", "rows", "type")
-    return pd.DataFrame([{**{n: s[n] for n in names}, "streams": ",".join(s["streams"])} for s in seen], columns=[*names, "streams"])
+
+    @F.pandas_udf("header_size long, data_size long, total_size long, rows long, type string, streams string")
+    def peek(raw: pd.Series) -> pd.DataFrame:
+        seen = [chunk.peek(bytes(x)) for x in raw]
+        return pd.DataFrame([{**{n: s[n] for n in names}, "streams": ",".join(s["streams"])} for s in seen], columns=[*names, "streams"])
+
+    return peek

@@ -12,7 +12,7 @@ def test_arrays_as_chunks(spark):
     coded = rows.withColumn("c", encode_chunk("bigint")("x")).cache()
     back = {r["id"]: r["y"] for r in coded.withColumn("y", decode_chunk("bigint")("c")).collect()}
     assert back == {1: [5, 6, None, 8], 2: [], 3: None, 4: [7] * 100}
-    seen = coded.where("c is not null").select("id", peek_chunk("c").alias("p"), F.length("c").alias("n")).collect()
+    seen = coded.where("c is not null").select("id", peek_chunk()("c").alias("p"), F.length("c").alias("n")).collect()
     assert all(r["p"]["total_size"] == r["n"] for r in seen)
     with pytest.raises(InvalidOption):
         encode_chunk("string")
