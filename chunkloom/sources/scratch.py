@@ -38,4 +38,14 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     out.write.option("compression", "zstd").parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read any more, before the application ends."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
