@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.sources.scratch import written
+from chunkloom.sources.scratch import forget, written
 
-__all__ = ["WORD", "seeded_key", "shuffle_partitions", "table", "word_count", "written"]
+__all__ = ["WORD", "forget", "seeded_key", "shuffle_partitions", "table", "word_count", "written"]
 
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import written
+from chunkloom.llm._common import forget, written
 
 #: Links that one task may join.
 SMALL = 2_000_000
@@ -70,6 +70,7 @@ def components(links: DataFrame, small: int = SMALL) -> DataFrame:
     now = written(parts.mapInArrow(_forest, "a long, b long"), "star-links")
     if now.count() <= small:
         members = written(now.coalesce(1).mapInArrow(_forest, "a long, b long"), "star-members")
+        forget(now)
         return _listed(members)
 
     def mark(t: DataFrame) -> tuple:
@@ -77,7 +78,10 @@ def components(links: DataFrame, small: int = SMALL) -> DataFrame:
 
     before = mark(now)
     while before[0]:
-        now = written(_star(written(_star(now, True), "star-large"), False), "star-small")
+        large = written(_star(now, True), "star-large")
+        small_ = written(_star(large, False), "star-small")
+        forget(now, large)
+        now = small_
         after = mark(now)
         if after == before:
             break

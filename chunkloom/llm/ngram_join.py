@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import table, written
+from chunkloom.llm._common import forget, table, written
 from chunkloom.llm._components import components
 from chunkloom.llm._grams import Words, chunked, deal, reduced
 
@@ -199,7 +199,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = sets.select("id", "n", F.posexplode("toks").alias("k", "tok"), "first").select("tok", "id", "n", (F.col("first") + F.col("k")).alias("pos"))
     # prefix shingles of one node alone are of no use
     common = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok")
-    rows = written(rows.join(written(common, "join-common"), "tok", "left_semi"), "join-rows")
+    common = written(common, "join-common")
+    rows = written(rows.join(common, "tok", "left_semi"), "join-rows")
+    forget(common)
     linked, classes = None, sets.select("id", F.col("id").alias("component")).limit(0)
     label = sets.select("id", F.col("id").alias("label"))
 
@@ -208,40 +210,50 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def checked(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b), once each, that pass the suffix filter and are similar."""
-        pairs = written(pairs.select("a", "b").distinct(), "join-pairs")
+        pairs = found = written(pairs.select("a", "b").distinct(), "join-pairs")
         for x in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("parts").alias(f"{x}_parts")), x)
-        passed = written(pairs.where(_apart("a", "b", percent)).select("a", "b"), "join-passed")
-        return written(_verified(passed, sets, percent), "join-links")
+            found = found.join(sets.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("parts").alias(f"{x}_parts")), x)
+        passed = written(found.where(_apart("a", "b", percent)).select("a", "b"), "join-passed")
+        out = written(_verified(passed, sets, percent), "join-links")
+        forget(pairs, passed)
+        return out
 
     for turn in range(HUB_ROUNDS + 1):
         told = rows.join(label, "id")
         # shingles whose nodes are all in one class have nothing more to say
-        mixed = told.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("tok")
-        told = written(told.join(written(mixed, "join-mixed"), "tok", "left_semi"), "join-told")
+        open_ = written(told.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("tok"), "join-open")
+        told = written(told.join(open_, "tok", "left_semi"), "join-told")
+        used = [open_, told]
         if told.isEmpty():
             break
         if turn < HUB_ROUNDS:
             # the hub of a shingle: a node of it that is linked already, if there is one, chosen by a hash
             order = F.struct((F.col("label") == F.col("id")).cast("int"), F.xxhash64("id", "tok"), "id", "n", "pos", "label")
             hubs = told.groupBy("tok").agg(F.min(order).alias("h")).select("tok", *[F.col(f"h.{c}").alias(f"b_{c}") for c in ("id", "n", "pos", "label")])
-            found = side("a", told).join(written(hubs, "join-hubs"), "tok").where("a_id <> b_id and a_label <> b_label").where(_could("a", "b", percent))
+            used.append(hubs := written(hubs, "join-hubs"))
+            found = side("a", told).join(hubs, "tok").where("a_id <> b_id and a_label <> b_label").where(_could("a", "b", percent))
             few = found.groupBy("a_id").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("a_id", "b_id").alias("o"), "b_id"))), 1, HUBS).alias("take"))
             pairs = few.select(F.col("a_id").alias("x"), F.explode("take").alias("t")).select(F.least("x", "t.b_id").alias("a"), F.greatest("x", "t.b_id").alias("b"))
         else:
             # all pairs that could still join two classes: nodes outside a shingle's largest class against all others of it
             big = told.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("tok").agg(F.max(F.struct("c", "label")).alias("m"))
-            told = written(told.join(written(big.select("tok", F.col("m.label").alias("big")), "join-big"), "tok"), "join-sided")
-            met = (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("b_big")) | (F.col("a_id") < F.col("b_id")))
+            used.append(big := written(big.select("tok", F.col("m.label").alias("big")), "join-big"))
+            told = told.join(big, "tok").join(sets.select("id", "toks"), "id")
+            # a pair is made where it meets first, with nothing shared before
+            told = written(told.withColumn("before", F.slice("toks", F.lit(1), (F.array_position("toks", F.col("tok")) - 1).cast("int"))).drop("toks"), "join-sided")
+            used.append(told)
+            met = (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("b_big")) | (F.col("a_id") < F.col("b_id"))) & ~F.arrays_overlap("a_before", "b_before")
             found = side("a", told.where("label <> big")).alias("l").join(side("b", told).alias("r"), (F.col("l.tok") == F.col("r.tok")) & met & _could("a", "b", percent))
             pairs = found.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
         links = checked(pairs)
+        forget(*used)
         linked = links if linked is None else linked.unionByName(links)
         classes = written(components(linked), "join-classes")
         label = written(sets.select("id").join(classes, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "join-labels")
 
     final = nodes.join(classes.withColumnRenamed("id", "node"), "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
     final = written(final, "join-final")
+    forget(rows, sets, nodes)
     return every.select("id", "n", "sig").join(final, "sig", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
