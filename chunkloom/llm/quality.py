@@ -25,7 +25,9 @@ from chunkloom.llm._grams import chunked
 from chunkloom.llm.language_id import LANGUAGES, _START, four_byte_counts
 
 #: Share of the trusted documents of a language whose perplexity lies below the threshold.
-QUANTILE = 0.995
+QUANTILE = 0.998
+#: A text is judged as if so many bytes of the language's usual perplexity came with it, so few bytes prove little.
+USUAL_BYTES = 100
 CHUNK_BYTES = 8 << 20
 
 
@@ -47,12 +49,11 @@ def _filtered_early(spark: SparkSession) -> Iterator[None]:
 def _discounts(counts: DataFrame, c: str) -> DataFrame:
     """lang, d1, d2, d3: the modified Kneser-Ney discounts of a table of counts; 0.5 where counts of counts are missing."""
     n = [F.sum((F.col(c) == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
     def d(k: int) -> Column:
-        value = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
-        usable = (F.col(f"n{k}") > 0) & (F.col("n1") + F.col("n2") > 0) & (value > 0) & (value <= k)
-        return F.when(usable, value).otherwise(0.5 * k).alias(f"d{k}")
+        value = k - F.try_divide((k + 1) * y * F.col(f"n{k + 1}"), F.col(f"n{k}"))
+        return F.when((value > 0) & (value <= k), value).otherwise(0.5 * k).alias(f"d{k}")
 
     return counts.groupBy("lang").agg(*n).select("lang", d(1), d(2), d(3))
 
@@ -147,7 +148,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     # a line feed parts language and text on the way
     told = docs.select(F.col(id_col).alias("id"), F.translate(F.col(lang_col).cast("string"), "\n", " ").alias("lang"), F.col(text_col).alias("text"))
     with _filtered_early(spark):
-        known = told.where("lang is not null and text is not null").join(trusted.select("id").distinct(), "id", "left_semi")
+        known = told.where("lang is not null and text is not null").join(trusted.select("id"), "id", "left_semi")
         counts = written(four_byte_counts(known), "quality-counts")
     langs = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "lang").limit(LANGUAGES).collect()]
     number = {lang: k for k, lang in enumerate(langs)}
@@ -230,22 +231,30 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
 
 
 def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, **columns: str) -> DataFrame:
-    """One row per input row: ``id, lang, n_bytes, perplexity, threshold, kept``.
+    """One row per input row: ``id, lang, n_bytes, perplexity, judged, threshold, kept``.
 
-    threshold is the quantile of the perplexities of the trusted documents of the row's
-    language. A document is kept unless its perplexity is above it; empty texts go, texts
-    that can't be judged stay, with a null threshold.
+    judged is the perplexity with USUAL_BYTES bytes of the median of the language's trusted
+    documents; threshold is the quantile of what these documents are judged by. A document
+    is kept unless it is judged above it; empty texts go, texts that can't be judged stay,
+    with nulls for what is not known.
     """
     scored = written(perplexities(docs, trusted, **columns), "quality-scored")
-    own = scored.where("perplexity is not null").join(trusted.select("id").distinct(), "id", "left_semi")
-    limits = own.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
-    limits = written(limits, "quality-limits", 1)  # a row for each of LANGUAGES languages at most
-    kept = F.when(F.col("n_bytes") == 0, False).otherwise(F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
-    return scored.join(F.broadcast(limits), "lang", "left").select("id", "lang", "n_bytes", "perplexity", "threshold", kept.alias("kept"))
+    own = written(scored.where("perplexity is not null").join(trusted.select("id"), "id", "left_semi").select("lang", "n_bytes", "perplexity"), "quality-own")
+    usual = written(own.groupBy("lang").agg(F.percentile_approx("perplexity", 0.5, 10_000).alias("usual")), "quality-usual", 1)
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        # a row for each of LANGUAGES languages at most
+        n = F.col("n_bytes")
+        joined = rows.join(F.broadcast(usual), "lang", "left")
+        return joined.withColumn("judged", F.exp((n * F.log("perplexity") + USUAL_BYTES * F.log("usual")) / (n + USUAL_BYTES))).drop("usual")
+
+    limits = written(weighed(own).groupBy("lang").agg(F.percentile_approx("judged", quantile, 10_000).alias("threshold")), "quality-limits", 1)
+    kept = F.when(F.col("n_bytes") == 0, False).otherwise(F.coalesce(F.col("judged") <= F.col("threshold"), F.lit(True)))
+    return weighed(scored).join(F.broadcast(limits), "lang", "left").select("id", "lang", "n_bytes", "perplexity", "judged", "threshold", kept.alias("kept"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: doc_id, lang, n_bytes, perplexity, threshold, kept. Trusted are documents labelled of quality 1."""
+    """One row per document: doc_id, lang, n_bytes, perplexity, judged, threshold, kept. Trusted are documents labelled of quality 1."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
     return judged(table(spark, sf_dir, "documents"), trusted).withColumnRenamed("id", "doc_id")
 
