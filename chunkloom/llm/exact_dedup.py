@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkloom.llm._common import table, written
@@ -63,14 +63,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns unchanged, one of each group of equals."""
-    groups = exact_groups(docs, id_col, text_col).where("group_size > 1")
-    groups = written(groups.groupBy("id", "sha256").agg(F.first("keep_id").alias("_stays")).withColumnsRenamed({"id": "_id", "sha256": "_sha"}), "exact-copies")
-    marked = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    found = marked.join(groups, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left")
-    single = found.where(F.col("_sha").isNull())
-    # rows that repeat both id and text have no smaller id to drop: one of them is taken
-    stays = found.where(F.col("_sha").isNotNull() & F.col("_stays").eqNullSafe(F.col("_id"))).dropDuplicates(["_digest"])
-    return single.unionByName(stays).select(*docs.columns)
+    groups = exact_groups(docs, id_col, text_col).where("group_size > 1").groupBy("id", "sha256").agg(F.first("keep_id").alias("_stays"))
+    groups = written(groups.select(F.xxhash64("id").alias("_k"), F.col("id").alias("_id"), F.col("sha256").alias("_sha"), "_stays"), "exact-copies")
+    marked = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).withColumn("_key", F.xxhash64(id_col))
+    found = marked.join(groups, (F.col("_key") == F.col("_k")) & (F.col("_digest") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    kept = found.where(F.col("_sha").isNull() | F.col("_stays").eqNullSafe(F.col("_id")))
+    # of rows that repeat both id and text one stays; the window has the keys of the join, so texts move once
+    twin = F.row_number().over(Window.partitionBy("_key", "_digest").orderBy("_key"))
+    return kept.withColumn("_twin", twin).where("_twin = 1").select(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
