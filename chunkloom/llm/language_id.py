@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def four_byte_counts(texts: DataFrame) -> DataFrame:
                         inside[ends[:-1] - back] = False
                     for g, n in zip(*(x.tolist() for x in np.unique(gram[inside], return_counts=True)), strict=True):
                         total[g] = total.get(g, 0) + n
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total)), pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "gram", "n"])
 
     parts = texts.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(count, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -185,21 +186,23 @@ def identified(texts: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]
             _trees[name] = ContextTrees(sent.value)
         trees = _trees[name]
         for batch in batches:
-            raw, letters = batch.column("_raw").to_pylist(), batch.column("_letter").to_pylist()
+            raw, letters = batch.column("text").cast(pa.binary()), batch.column("_letter").to_pylist()
             known = [k for k, a in enumerate(letters) if a and trees.languages]
-            bits = trees.code_lengths([raw[k] for k in known]) if known else np.zeros((0, 1))
+            bits = [trees.code_lengths([raw[k].as_py() for k in known[at : at + 256]]) for at in range(0, len(known), 256)]
+            bits = np.concatenate(bits) if bits else np.zeros((0, 1))
             lang, chance, each = [UNKNOWN] * len(raw), [0.0] * len(raw), [None] * len(raw)
+            size = pc.binary_length(raw).to_pylist()
             best = bits.argmin(1) if known else []
             for k, row, b in zip(known, bits, best, strict=True):
                 lang[k] = trees.languages[b]
                 chance[k] = float(1 / np.exp2(np.maximum(row[b] - row, -1000)).sum())
-                each[k] = float(row[b] / max(1, len(raw[k])))
-            kept = batch.drop_columns(["_raw", "_letter"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lang), pa.array(chance, pa.float64()), pa.array(each, pa.float64())], [*kept.schema.names, "lang_pred", "score", "bits_per_byte"])
+                each[k] = float(row[b] / max(1, size[k]))
+            kept = batch.drop_columns(["_letter"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lang, pa.string()), pa.array(chance, pa.float64()), pa.array(each, pa.float64())], [*kept.schema.names, "lang_pred", "score", "bits_per_byte"])
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in own), "lang_pred string", "score double", "bits_per_byte double"])
-    told = texts.select(*own, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_raw"), letter.alias("_letter"))
+    told = texts.select(*own, letter.alias("_letter"))
     return told.mapInArrow(score, schema)
 
 

@@ -57,7 +57,7 @@ class WordTokens(dict):
 
     USUAL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -90,6 +90,11 @@ class WordTokens(dict):
         self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Gives back the memory of what is remembered."""
+        self.clear()
+        self.parts = {"": b""}
+
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
@@ -112,7 +117,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, cap
         step = 4 * capacity
         for batch in batches:
             of, number, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
+            for row, text in enumerate(batch.column(1)):  # one text at a time in Python's memory
                 ids = words.ids(text.as_py() or "") + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
@@ -125,6 +130,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, cap
                 [batch.column(0).take(pa.array(of, pa.int32())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
+        words.forget()  # workers live on for other tasks
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, f"id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
