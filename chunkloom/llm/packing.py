@@ -22,6 +22,7 @@ import os
 import pickle
 import random
 import re
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections import Counter
@@ -57,7 +58,7 @@ class WordTokens(dict):
 
     USUAL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,7 +77,8 @@ class WordTokens(dict):
             if len(self.parts) >= self.remembered:
                 self.parts = {"": b""}
             level = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-            ids = self.parts[part] = np.array([t.id for t in self.tokenize(level)], "<u4").tobytes()
+            found = [t.id for t in self.tokenize(level)]
+            ids = self.parts[part] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
@@ -86,7 +88,8 @@ class WordTokens(dict):
         if usual := self.USUAL.fullmatch(text):
             ids = self._part(usual[1].lower()) + self._part(usual[2])
         else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
         self[word] = ids
         return ids
 
