@@ -281,8 +281,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for text in batch.column(1).to_pylist():
                 certain = base_spans(text)
                 base.append(told(certain))
-                # without a certain mention there is no evidence to carry on, and alone no mention is added
-                every.append(told(certain + added_spans(text, certain, field)) if certain else base[-1])
+                every.append(told(certain + added_spans(text, certain, field)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(every, span)], ["id", "base", "spans"])
 
     spans = "array<struct<kind: string, start: int, end: int>>"

@@ -498,6 +498,13 @@ def test_skip_chains_carry_labels():
     assert added("order 123456789012 and 123456789012 again") == []
 
 
+def test_lone_mentions_are_judged_too(spark):
+    texts = ["call +1 (415) 555-7713 now", "mail a.b@c.de today", "pay 4539 1488 0343 6467 now", "host 10.0.0.1 up", "id 123456789012 and 99 of 1234567"] * 200
+    texts += ["call (415) 555-7713 now", "10.0.0.1 is up, call (415) 555-7713 now", "mail bob@ mail.example.org", "order 123456789012", "no data"]
+    found = {r["id"]: [texts[r["id"]][x["start"] : x["end"]] for x in r["spans"]] for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[k] for k in range(1000, 1005)] == [["(415) 555-7713"], ["10.0.0.1", "(415) 555-7713"], ["bob@ mail.example.org"], [], []]
+
+
 # ---------------------------------------------------------------- 10
 
 
