@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from chunkloom.llm._common import seeded_key, table, word_count, written
 
-#: Words in a block, unless the corpus is so small that this would be coarse.
+#: Words in a block, unless the corpus or a source is so small that this would be coarse.
 BLOCK_WORDS = 2048
 #: Blocks that the budget has at least for each source.
 LEAST_BLOCKS = 2000
+#: Blocks that the smallest target has at least, so that rounding moves no source by more than about half a hundredth.
+LEAST_SEATS = 100
 #: Rows of a shard, about.
 SHARD_ROWS = 1000
 
@@ -94,7 +96,8 @@ def mixed(
     sizes = slim.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     targets = written(source_targets(sizes.select("src", "source_size"), weights, factor, most).join(sizes.select(F.col("src").alias("_s"), "rows"), F.col("src").eqNullSafe(F.col("_s"))).drop("_s"), "mix-targets", 1)
     budget = F.sum("target").over(Window.partitionBy())
-    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(budget / (LEAST_BLOCKS * F.count(F.lit(1)).over(Window.partitionBy()))))).cast("long")
+    rare = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy())
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(budget / (LEAST_BLOCKS * F.count(F.lit(1)).over(Window.partitionBy()))), F.floor(rare / LEAST_SEATS))).cast("long")
     sources = targets.withColumn("block", block).withColumn("blocks", F.floor(budget / block + 0.5).cast("long"))
     sources = apportion(sources.withColumn("all", F.lit(1)), ["all"], ["ord"], "target", "blocks").withColumnRenamed("won", "quota")
     sources = written(sources.withColumn("shards", F.ceil(F.col("rows") / SHARD_ROWS).cast("long")).select("src", "ord", "source_size", "target", "block", "quota", "shards"), "mix-sources", 1)

@@ -114,6 +114,14 @@ def test_mixing(spark, docs, awkward, nothing):
     assert mixing.mixed(docs.where("coalesce(text, '') = ''")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mixing_serves_a_rare_source_of_a_large_corpus(spark):
+    big = spark.range(1500).selectExpr("id AS doc_id", "repeat('a ', 4000) AS text", "'big' AS source")
+    rare = spark.createDataFrame([(2000, "b " * 300, None), (2001, "c " * 150, "rare"), (2002, "d", "tiny"), (2003, "", "empty")], "doc_id long, text string, source string")
+    got = {r["src"]: r for r in mixing.mixed(big.unionByName(rare)).groupBy("src").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert [got[s]["target"] for s in (None, "rare", "tiny", "empty")] == [600, 300, 2, 0]
+    assert all(abs(r["taken"] - r["target"]) <= 0.005 * r["target"] + 1 for r in got.values()), got
+
+
 def test_apportionment(spark):
     rng = random.Random(3)
     rows, want = [], {}
