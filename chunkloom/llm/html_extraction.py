@@ -5,13 +5,14 @@ their classes). A node's content importance is one minus the mean entropy of its
 texts: a text that returns on every page of the host tells nothing. Its presentation
 importance is the entropy of the child sequences that the node shows. Both make the
 composite importance, (1 - g ** l) presentation + g ** l content for l child sequences
-and g = 0.9; branches whose importance is low over enough pages are taken out of every
-page. What the markup itself declares as no article (navigation, forms, asides,
+and g = 0.9; where it is low over enough pages, the texts that return there are taken
+out of every page. A branch is noise if it and all below it are, so it is enough to
+judge the nodes that bear text. Copies of a page count as one page. What the markup itself declares as no article (navigation, forms, asides,
 adverts by class or role, everything outside the article where the page marks one)
 has no importance to begin with.
 
-Pages are parsed twice in the order in which they are read; only counts of paths and of
-hashed texts are shuffled, added up before the shuffle.
+Pages are parsed twice in the order in which they are read; only hashes of pages and
+counts of paths and of hashed texts are shuffled, added up before the shuffle.
 """
 
 from __future__ import annotations
@@ -27,9 +28,13 @@ from pyspark.sql import functions as F
 
 from chunkloom.llm._common import table, written
 
-#: A branch goes below this importance, if so many pages of the host have it.
+#: A path is low below this importance, if so many pages of the host have it, or half of them and at least two.
 LEAST_IMPORTANCE = 0.1
 LEAST_PAGES = 20
+#: A text of a low path goes if it is on so large a share of the path's pages and on two at least.
+RETURNS = 0.01
+#: Pages with copies whose numbers are broadcast; more are joined.
+COPIES_MOST = 1_000_000
 _DAMP = 0.9
 
 _MARKUP = re.compile(
@@ -184,43 +189,60 @@ class Page:
         while self._stack:
             self._pop()
 
-    def text(self, low: frozenset[str] = frozenset()) -> str:
-        """The blocks of the main text; low: paths of the host that carry too little."""
+    def text(self, low: frozenset[int] = frozenset()) -> str:
+        """The blocks of the main text; low: hashes of the host's blocks that carry too little, unless that is all of them."""
         main = [(p, t) for p, t, inside, none in self.blocks if not none and (inside or not self.marked)]
-        kept = [t for p, t in main if p not in low] if low else [t for _, t in main]
-        return "\n".join(kept or [t for _, t in main] if self.marked else kept)
+        kept = [t for p, t in main if _hash(p, t) not in low] if low else []
+        return "\n".join(kept or [t for _, t in main])
+
+
+def _hash(path: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 1
 
 
 def _host(url_col: str):  # noqa: ANN202
     return F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Nodes of all hosts' style trees: ``host, path, pages, presentation, content, importance``."""
+def _counts(pages: DataFrame, url_col: str, html_col: str) -> tuple[DataFrame, DataFrame]:
+    """``host, path, kind, what, n``: on how many pages of the host; and ``host, host_pages``. Copies of a page count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: dict[tuple[str, str, int, int], int] = {}
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total: dict[tuple[str, str, int, int], float] = {}
+            for host, source, share in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page = Page(source)
-                seen = {(path, 1, xxhash.xxh64_intdigest(text) >> 1) for path, text, _, _ in page.blocks}
+                seen = {(path, 1, _hash(path, text)) for path, text, _, _ in page.blocks}
                 seen |= {(path, 2, xxhash.xxh64_intdigest(s) >> 1) for path, styles in page.styles.items() for s in styles}
                 seen |= {(path, 0, 0) for path in {p for p, _, _ in seen}}
                 for key in seen:
-                    total[host, *key] = total.get((host, *key), 0) + 1
+                    total[host, *key] = total.get((host, *key), 0.0) + share
             keys = list(zip(*total, strict=True)) if total else [[]] * 4
             types = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(k, t) for k, t in zip(keys, types, strict=True)), pa.array(list(total.values()), pa.int64())], ["host", "path", "kind", "what", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, t) for k, t in zip(keys, types, strict=True)), pa.array(list(total.values()), pa.float64())], ["host", "path", "kind", "what", "n"])
 
     read = pages.select(_host(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    counted = read.mapInArrow(count, "host string, path string, kind int, what long, n long").groupBy("host", "path", "kind", "what").agg(F.sum("n").alias("n"))
+    page = F.xxhash64("host", "html")
+    copies = written(read.groupBy("host", page.alias("page")).agg(F.count(F.lit(1)).alias("copies")), "style-copies")
+    many = written(copies.where("copies > 1").select("page", "copies"), "style-many")
+    told = read.withColumn("page", page).join(F.broadcast(many) if many.count() <= COPIES_MOST else many, "page", "left")
+    told = told.select("host", "html", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    counted = told.mapInArrow(count, "host string, path string, kind int, what long, n double").groupBy("host", "path", "kind", "what").agg(F.round(F.sum("n")).alias("n"))
+    return written(counted, "style-counts"), copies.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+
+
+def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Nodes of all hosts' style trees that bear text: ``host, path, pages, presentation, content, importance``."""
+    return _nodes(_counts(pages, url_col, html_col)[0])
+
 
+def _nodes(counted: DataFrame) -> DataFrame:
     def total(kind: int, value):  # noqa: ANN001, ANN202
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
 
-    n = F.col("n").cast("double")
+    n = F.col("n")
     nodes = counted.groupBy("host", "path").agg(
-        total(0, F.col("n")).alias("pages"),
+        total(0, F.col("n")).cast("long").alias("pages"),
         total(1, n).alias("texts"),
         total(1, n * F.log(n)).alias("text_log"),
         total(2, n).alias("shows"),
@@ -238,12 +260,15 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """pages plus ``main_text``: the article of each page, its blocks joined by line feeds.
 
-    Null and empty pages give an empty text; a null url is a host of its own. A page that
-    marks its article never loses all of it to the tree. Other columns pass unchanged.
+    Null and empty pages give an empty text; a null url is a host of its own. A page
+    never loses all of it to the tree. Other columns pass unchanged.
     """
-    low = style_tree(pages, url_col, html_col).where((F.col("importance") < least) & (F.col("pages") >= least_pages))
-    low = written(low.groupBy("host").agg(F.collect_set("path").alias("_low"), F.sum(F.length("path")).alias("_chars")), "style-low")
-    size = low.agg(F.sum("_chars")).first()[0] or 0
+    counted, hosts = _counts(pages, url_col, html_col)
+    enough = F.least(F.lit(least_pages), F.greatest(F.lit(2), F.ceil(F.col("host_pages") / 2)))
+    low = _nodes(counted).where((F.col("importance") < least) & (F.col("pages") > 1)).join(hosts, "host").where(F.col("pages") >= enough)
+    texts = counted.where("kind = 1 and n > 1").join(low.select("host", "path", "pages"), ["host", "path"]).where(F.col("n") >= RETURNS * F.col("pages"))
+    low = written(texts.groupBy("host").agg(F.collect_set("what").alias("_low"), (8 * F.count(F.lit(1))).alias("_bytes")), "style-low")
+    size = low.agg(F.sum("_bytes")).first()[0] or 0
     low = low.select(F.col("host").alias("_host"), "_low")
     joined = pages.withColumn("_host", _host(url_col)).join(F.broadcast(low) if size < 4 << 20 else low, "_host", "left")
     own = [c for c in pages.columns if c != "main_text"]

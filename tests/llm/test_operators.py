@@ -549,6 +549,29 @@ def test_style_tree_takes_out_what_every_page_has(spark):
     assert html_extraction.main_text(pages.limit(0)).count() == 0
 
 
+def test_style_tree_on_few_pages_and_copies(spark):
+    rng = random.Random(2)
+
+    def page(notice, text):
+        return f"<body><div class='x'>{notice}</div><div class='y'><p>{text}</p></div></body>"
+
+    texts = [prose(rng, 20) for _ in range(100)]
+    rows = [(k, f"http://few.example/{k}", page("Every page says this", texts[k])) for k in range(15)]
+    rows += [(k, f"http://two.example/{k}", page("Both pages say this", texts[k])) for k in (15, 16)]
+    # many copies of one page, few other pages with texts of their own at the same paths
+    rows += [(100 + k, "http://copies.example/", page("Copied", "the same")) for k in range(1000)]
+    rows += [(k, f"http://copies.example/{k}", page(f"own {k}", texts[k])) for k in range(20, 40)]
+    # a notice that most pages have and a few write anew
+    rows += [(k, f"http://mixed.example/{k}", page("Usual" if k < 2400 else f"own {k}", f"text {k}")) for k in range(2000, 2410)]
+    rows += [(3000 + k, "http://lone.example/", page("All", "there is")) for k in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["main_text"] for r in html_extraction.main_text(pages).collect()}
+    assert all(got[k] == texts[k] for k in range(17))
+    assert got[100] == "Copied\nthe same" and all(got[k] == f"own {k}\n{texts[k]}" for k in range(20, 40))
+    assert got[2000] == "text 2000" and got[2409] == "own 2409\ntext 2409"
+    assert got[3000] == "All\nthere is"
+
+
 def test_components_both_ways(spark):
     from chunkloom.llm._components import components
 
