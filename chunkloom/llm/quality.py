@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.llm._common import shuffle_partitions, table, written
 from chunkloom.llm._grams import chunked
-from chunkloom.llm.language_id import LANGUAGES, _START, four_byte_counts
+from chunkloom.llm.language_id import _START, four_byte_counts
 
 #: Share of the trusted documents of a language whose perplexity lies below the threshold.
 QUANTILE = 0.998
@@ -73,33 +73,37 @@ def _order(counts: DataFrame, c: str, width: int) -> DataFrame:
     return rows.select("lang", "gram", "ctx", ((F.col(c) - F.col("cut")) / total).alias("alpha"), (F.sum("cut").over(group) / total).alias("gamma"))
 
 
-def model(counts: DataFrame) -> tuple[DataFrame, dict[str, np.ndarray]]:
-    """The tables of a model: sharded rows (lang, kind, key, value) and the dense chances of two bytes.
+def model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tables of a model: sharded rows (lang, kind, key, value) and a row of packed arrays for the two bytes of each language.
 
     counts: lang, gram (four bytes), n. Kinds: 4 and 3 chances of runs seen, interpolated
-    down to equal chances; 14 and 13 back-off weights of contexts seen. The dense part is
-    bounded by 65,536 numbers for each language.
+    down to equal chances; 14 and 13 back-off weights of contexts seen. The packed row has
+    the chances p1 of a byte, the weights g2 of its 256 contexts, and the pairs seen with
+    their own shares, so it is as large as what the language has shown.
     """
     four = counts.select("lang", "gram", F.col("n").cast("double").alias("c"))
     three = written(four.groupBy("lang", F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.count(F.lit(1)).cast("double").alias("c")), "quality-three")
     two = three.groupBy("lang", F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.count(F.lit(1)).cast("double").alias("c"))
     one = two.groupBy("lang", F.col("gram").bitwiseAND(0xFF).alias("gram")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    dense: dict[str, np.ndarray] = {}
-    lows = _order(two, "c", 2).withColumn("k", F.lit(2)).unionByName(_order(one, "c", 1).withColumn("k", F.lit(1))).toPandas()
-    for lang, part in lows.groupby("lang"):
-        ones, twos = part[part.k == 1], part[part.k == 2]
-        p1 = np.full(256, (ones.gamma.iloc[0] if len(ones) else 1.0) / 256)
-        p1[ones.gram.to_numpy(np.int64)] += ones.alpha.to_numpy()
-        gamma = np.ones(256)
-        gamma[twos.ctx.to_numpy(np.int64)] = twos.gamma.to_numpy()
-        p2 = gamma[:, None] * p1[None]
-        g = twos.gram.to_numpy(np.int64)
-        np.add.at(p2, (g >> 8, g & 255), twos.alpha.to_numpy())
-        dense[lang] = p2.astype(np.float64)
-    low = counts.sparkSession.createDataFrame([(lang, [float(x) for x in p.ravel()]) for lang, p in dense.items()], "lang string, p2 array<double>")
+    o2, o1 = written(_order(two, "c", 2), "quality-o2"), written(_order(one, "c", 1), "quality-o1")
+
+    def pack(twos: pa.Table, ones: pa.Table) -> pa.Table:
+        gram, alpha = ones["gram"].to_numpy(), ones["alpha"].to_numpy()
+        p1 = np.full(256, (ones["gamma"][0].as_py() if len(gram) else 1.0) / 256)
+        p1[gram.astype(np.int64)] += alpha
+        g2 = np.ones(256)
+        g2[twos["ctx"].to_numpy().astype(np.int64)] = twos["gamma"].to_numpy()
+        by = np.argsort(twos["gram"].to_numpy())
+        packed = [p1, g2, twos["gram"].to_numpy()[by].astype(np.uint16), twos["alpha"].to_numpy()[by]]
+        return pa.table({"lang": ones["lang"][:1], **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("p1", "g2", "pairs", "shares"), packed, strict=True)}})
+
+    # a group has at most 65,536 pairs
+    lows = o2.groupBy("lang").cogroup(o1.groupBy("lang")).applyInArrow(pack, "lang string, p1 binary, g2 binary, pairs binary, shares binary")
+    # every run of three seen ends in a pair seen, and that in a byte seen
+    equal = o1.select("lang", F.col("gram").alias("last"), (F.col("alpha") + F.col("gamma") / 256).alias("p1"))
+    p2 = o2.withColumn("last", F.col("gram").bitwiseAND(0xFF)).join(equal, ["lang", "last"]).select("lang", F.col("gram").alias("pair"), (F.col("alpha") + F.col("gamma") * F.col("p1")).alias("p2"))
     o3 = written(_order(three, "c", 3), "quality-o3")
-    # the dense table is bounded as said
-    p3 = o3.join(F.broadcast(low), "lang").select("lang", "gram", "ctx", "gamma", (F.col("alpha") + F.col("gamma") * F.element_at("p2", F.col("gram").bitwiseAND(0xFFFF).cast("int") + 1)).alias("p"))
+    p3 = o3.withColumn("pair", F.col("gram").bitwiseAND(0xFFFF)).join(p2, ["lang", "pair"]).select("lang", "gram", "ctx", "gamma", (F.col("alpha") + F.col("gamma") * F.col("p2")).alias("p"))
     p3 = written(p3, "quality-p3")
     o4 = written(_order(four, "c", 4), "quality-o4")
     up = p3.select("lang", F.col("gram").alias("low"), F.col("p").alias("p_low"))
@@ -110,7 +114,7 @@ def model(counts: DataFrame) -> tuple[DataFrame, dict[str, np.ndarray]]:
 
     every = rows(p4, 4, "gram", "p").unionByName(rows(p3, 3, "gram", "p"))
     every = every.unionByName(rows(o4.select("lang", "ctx", "gamma").distinct(), 14, "ctx", "gamma")).unionByName(rows(o3.select("lang", "ctx", "gamma").distinct(), 13, "ctx", "gamma"))
-    return every, dense
+    return every, lows
 
 
 def _runs(texts: list[bytes], lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,11 +154,13 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     with _filtered_early(spark):
         known = told.where("lang is not null and text is not null").join(trusted.select("id"), "id", "left_semi")
         counts = written(four_byte_counts(known), "quality-counts")
-    langs = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "lang").limit(LANGUAGES).collect()]
-    number = {lang: k for k, lang in enumerate(langs)}
-    counts = counts.where(F.col("lang").isin(langs)) if langs else counts
-    sharded, dense = model(counts)
-    sent = spark.sparkContext.broadcast([dense[lang] for lang in langs])
+    sharded, lows = model(counts)
+    packed = sorted(lows.collect(), key=lambda r: r["lang"])  # a row for each language
+    number = {r["lang"]: k for k, r in enumerate(packed)}
+    pairs = [(k << 16) | np.frombuffer(r["pairs"], np.uint16).astype(np.int64) for k, r in enumerate(packed)]
+    kinds = [np.array([np.frombuffer(r[c]) for r in packed]).reshape(-1, 256) for c in ("p1", "g2")]
+    shares = [np.frombuffer(r["shares"]) for r in packed]
+    sent = spark.sparkContext.broadcast((*kinds, np.concatenate([*pairs, np.zeros(0, np.int64)]), np.concatenate([*shares, np.zeros(0)])))
 
     rows, _, _ = chunked(told.withColumn("text", F.concat_ws("\n", F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit("")))), "id", "text", CHUNK_BYTES)
     buckets = 4 * shuffle_partitions(spark)
@@ -198,7 +204,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         for packet in asks["packet"].to_pylist():
             full = np.frombuffer(packet, np.int64)
             lang, gram = full >> 32 << 32, full & 0xFFFFFFFF
-            p2 = np.stack(sent.value)[full >> 32, (gram >> 8) & 255, gram & 255]
+            p1, g2, pairs, shares = sent.value
+            p2 = g2[full >> 32, (gram >> 8) & 255] * p1[full >> 32, gram & 255]
+            pair = full >> 32 << 16 | (gram & 0xFFFF)
+            at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+            p2 += np.where(pairs[at] == pair, shares[at], 0.0)
             p3 = find(3, lang | (gram & 0xFFFFFF), find(13, lang | (gram >> 8 & 0xFFFF), 1.0) * p2)
             p4 = find(4, full, find(14, lang | (gram >> 8), 1.0) * p3)
             out.append(np.log(p4).astype("<f4").tobytes())
@@ -220,11 +230,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         return pa.table({"id": group["id"], "lang": pa.array(lang, pa.string()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "perplexity": pa.array(out, pa.float64())})
 
     packets = rows.groupBy("chunk").applyInArrow(ask, "bucket int, chunk long, packet binary")
-    n = F.lit(0)
-    for lang, k in number.items():
-        n = F.when(F.col("lang") == lang, F.lit(k)).otherwise(n)
+    numbers = F.broadcast(spark.createDataFrame(list(number.items()), "lang string, n int"))
     middle = F.when(F.col("kind") == 4, F.shiftright("key", 8)).when(F.col("kind") == 3, F.shiftright("key", 8)).otherwise(F.col("key")).bitwiseAND(0xFFFF)
-    shards = sharded.withColumn("n", n).withColumn("bucket", ((middle + F.shiftleft(F.col("n").cast("long"), 16)) * 40503 % 65537 % buckets).cast("int"))
+    shards = sharded.join(numbers, "lang").withColumn("bucket", ((middle + F.shiftleft(F.col("n").cast("long"), 16)) * 40503 % 65537 % buckets).cast("int"))
     shards = written(shards.select("bucket", "n", "kind", "key", "value"), "quality-shards")
     answers = packets.groupBy("bucket").cogroup(shards.groupBy("bucket")).applyInArrow(answer, "bucket int, chunk long, packet binary")
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, "id long, lang string, n_bytes long, perplexity double")
@@ -243,7 +251,7 @@ def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, **co
     usual = written(own.groupBy("lang").agg(F.percentile_approx("perplexity", 0.5, 10_000).alias("usual")), "quality-usual", 1)
 
     def weighed(rows: DataFrame) -> DataFrame:
-        # a row for each of LANGUAGES languages at most
+        # a row for each language
         n = F.col("n_bytes")
         joined = rows.join(F.broadcast(usual), "lang", "left")
         return joined.withColumn("judged", F.exp((n * F.log("perplexity") + USUAL_BYTES * F.log("usual")) / (n + USUAL_BYTES))).drop("usual")

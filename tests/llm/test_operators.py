@@ -399,6 +399,13 @@ def test_kneser_ney_against_brute_force(spark):
         assert got[k] == pytest.approx(np.exp(-np.mean(logs)), rel=1e-4), t
 
 
+def test_every_language_with_trusted_text_is_judged(spark):
+    rows = [(k, f"{'abcdefg'[k % 7]} plain text of language {k}" * (2 if k < 230 else 1), f"l{k:03}") for k in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.perplexities(docs, docs.select(F.col("doc_id").alias("id"))).collect()
+    assert len(got) == 250 and all(r["perplexity"] is not None for r in got)
+
+
 def test_quality(spark, sf_dir, docs, nothing):
     got = quality.op4_quality(spark, sf_dir).toPandas()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas()
