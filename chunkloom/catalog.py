@@ -306,7 +306,7 @@ _PERIODIC = "event_id % 5 * (event_id % 5) + user_id / 1000.0"
 )
 def stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).withColumn("v", F.expr(_PERIODIC).cast("double"))
-    return profile.stride(profile.autocorrelation(rows, "v", 17))
+    return profile.stride(profile.autocorrelation(rows, "v"))
 
 
 @query()

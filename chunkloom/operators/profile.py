@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ DISTINCT_MOST = 256
 DELTA_DISTINCT_MOST = 8
 ZEROS_LEAST = 0.4
 SLOTS = 4096
+LAGS_MOST = 256
 
 
 def profile_columns(df: DataFrame, columns: list[str], stride: int = 1) -> DataFrame:
@@ -49,11 +52,37 @@ def profile_columns(df: DataFrame, columns: list[str], stride: int = 1) -> DataF
     )
 
 
-def autocorrelation(df: DataFrame, value: str, lags: int) -> DataFrame:
+def _all_lags(df: DataFrame, value: str) -> DataFrame:
+    """batch_id, lag, acf for lags from 1 below a quarter of the batch's rows (3 at least, LAGS_MOST at most), by one FFT per batch."""
+
+    def acf(batch: pa.Table) -> pa.Table:
+        batch, none = batch.sort_by("row_idx"), pa.array([], pa.int32())
+        n, y = batch.num_rows, batch["y"].to_numpy().astype(float)
+        valid = ~batch["y"].is_null().to_numpy()
+        lags, out = none, np.zeros(0)
+        if n >= 8 and valid.any():
+            with np.errstate(all="ignore"):
+                y = np.where(valid, y - y[valid].mean(), 0.0)
+                power = float(y @ y)
+                if np.isfinite(power) and power >= 1e-9:
+                    size = 1 << (2 * n - 1).bit_length()
+                    f = np.fft.rfft(y, size)
+                    out = np.fft.irfft(f * np.conj(f), size)[1 : min(max(n // 4, 3), LAGS_MOST)] / power
+                    lags = pa.array(np.arange(1, len(out) + 1, dtype=np.int32))
+        return pa.table({"batch_id": pa.array([batch["batch_id"][0].as_py()] * len(out), pa.int64()), "lag": lags, "acf": pa.array(out, pa.float64())})
+
+    rows = df.select(F.col("batch_id").cast("long").alias("batch_id"), "row_idx", F.col(value).cast("double").alias("y"))
+    return rows.groupBy("batch_id").applyInArrow(acf, "batch_id long, lag int, acf double")
+
+
+def autocorrelation(df: DataFrame, value: str, lags: int | None = None) -> DataFrame:
     """batch_id, lag, acf for lags from 1 below ``lags``; batches that don't vary are left out.
 
-    One window sort per batch; each lag is one aggregate over the sorted rows.
+    Without ``lags`` all that the planner looks at, by an FFT. Otherwise one window sort
+    per batch; each lag is one aggregate over the sorted rows.
     """
+    if lags is None:
+        return _all_lags(df, value)
     mean = F.avg(value).over(Window.partitionBy("batch_id"))
     centred = df.select("batch_id", "row_idx", (F.col(value).cast("double") - mean).alias("y"))
     lagged = centred.select("batch_id", "y", *[F.lag("y", k).over(in_batch()).alias(f"y{k}") for k in range(1, lags)])
@@ -68,7 +97,7 @@ def stride(acf: DataFrame, least: float = 0.25) -> DataFrame:
     return acf.groupBy("batch_id").agg(best.alias("b")).select("batch_id", F.when(F.col("b.a") > least, -F.col("b.l")).otherwise(F.lit(1)).cast("int").alias("stride"))
 
 
-def structure(df: DataFrame, value: str, multiplexed: bool, sample_rows: int = 2048, lags: int = 64) -> DataFrame:
+def structure(df: DataFrame, value: str, multiplexed: bool, sample_rows: int = 2048, lags: int | None = None) -> DataFrame:
     """batch_id, structure, stride of the first sample_rows rows of each batch: Multiplexed by hint, FixedStride or Simple."""
     place = F.row_number().over(in_batch())
     head = df.where(F.col(value).isNotNull()).withColumn("_p", place).where(F.col("_p") <= sample_rows)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,6 +147,22 @@ def test_structure(spark):
     assert profile.structure(rows, "v", True).first()["structure"] == "Multiplexed"
 
 
+def test_structure_finds_long_periods(spark):
+    """Every lag below a quarter of a batch of 1,000 rows is looked at, as the planner does."""
+    rng = np.random.default_rng(4)
+    periods = (24, 60, 100, 168, 249)
+    rows = []
+    for b, period in enumerate(periods):
+        values = rng.normal(size=period)[np.arange(1000) % period].tolist()
+        rows += [(b, 1000 * b + k, v) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "batch_id long, row_idx long, v double").repartition(3)
+    acf = profile.autocorrelation(df, "v")
+    assert {tuple(r) for r in acf.groupBy("batch_id").count().collect()} == {(b, 249) for b in range(len(periods))}
+    assert dict(map(tuple, profile.stride(acf).collect())) == dict(enumerate(periods))
+    assert {r["batch_id"]: (r["structure"], r["stride"]) for r in profile.structure(df, "v", False).collect()} == {b: ("FixedStride", p) for b, p in enumerate(periods)}
+
+
+
 def test_series(spark):
     rows = spark.createDataFrame([(101, 2, 10.2), (102, 1, 20.1), (101, 1, 10.1), (102, 2, 20.2)], "unit long, frame long, vx double")
     got = {r["unit"]: (r["frame"], r["vx"]) for r in layout.series(numbered(rows, ["vx"]), "unit", "frame", ["vx"]).collect()}
