@@ -17,6 +17,7 @@ is counted in salted groups, so a length that a third of all pieces share is no
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import pickle
@@ -46,24 +47,40 @@ Solution = dict[Pattern, int]
 # ---------------------------------------------------------------- tokens
 
 
+#: How a tokenizer file must normalise and split texts for words to be tokenised one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
+
+
 class WordTokens(dict):
     """Token ids of words, as little-endian unsigned 32-bit numbers; each word is tokenised once while it is remembered.
 
-    The tokenizer splits at white space and drops it, so a text's ids are those of its
-    words one after the other. It also splits a run of letters from the marks behind
-    it: words made of Latin letters and then ASCII marks are put together from these
+    This holds for a file that folds and splits texts as stated above and whose added
+    tokens hold no white space: a text's ids are then those of its words one after the
+    other. Words made of Latin letters and then ASCII marks are put together from these
     two, each remembered too, which goes straight to the tokenizer's model. Any other
-    word goes through the whole tokenizer. remembered bounds the entries of each kind.
+    word, and one that holds an added token, goes through the whole tokenizer. With any
+    other file every text does. remembered bounds the entries of each kind.
     """
 
     USUAL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        added = file.get("added_tokens") or []
+        self.added = [t["content"] for t in added]
+        plain_tokens = all(not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in added)
+        whole = not any(file.get(part) for part in ("truncation", "padding"))
+        self.by_word = file["normalizer"] == _NORMALIZER and file["pre_tokenizer"] == _PRE_TOKENIZER and file["model"]["type"] == "BPE" and plain_tokens and whole
         self.tokenize = self.tokenizer.model.tokenize
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -81,15 +98,19 @@ class WordTokens(dict):
             ids = self.parts[part] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
+    def _whole(self, text: str) -> bytes:
+        found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.remembered:
             self.clear()
         text = word.decode()
-        if usual := self.USUAL.fullmatch(text):
+        usual = self.USUAL.fullmatch(text)
+        if usual and not any(t in text for t in self.added):
             ids = self._part(usual[1].lower()) + self._part(usual[2])
         else:
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(found)}I", *found)
+            ids = self._whole(text)
         self[word] = ids
         return ids
 
@@ -99,6 +120,8 @@ class WordTokens(dict):
         self.parts = {"": b""}
 
     def ids(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._whole(text)
         return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
 

@@ -168,14 +168,42 @@ def test_word_tokens_are_the_tokenizers():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain, words = Tokenizer.from_file(path), packing.WordTokens(path, remembered=50)
-    plain.encode_special_tokens = True
+    assert words.by_word
     rng = random.Random(9)
-    pieces = ["don't", "I'll", "x.y", "Straße!", "ÉTÉ,", "áb", "ΣΑΣ", "中文", "12ab34", "<|endoftext|>", "''s", "(a)", "\x01", "a b", "é'ré", "ﬁne", "İx", "🙂", "-", "Œuvre..."]
+    pieces = ["don't", "I'll", "x.y", "Straße!", "ÉTÉ,", "áb", "ΣΑΣ", "中文", "12ab34", "<|endoftext|>", "<|startoftext|>Word", "word<|endoftext|>", "''s", "(a)", "\x01", "a b", "é'ré", "ﬁne", "İx", "🙂", "-", "Œuvre..."]
     for _ in range(300):
         text = "".join(rng.choice([*pieces, prose(rng, 2)]) + rng.choice([" ", "\n", "\t ", " ", ""]) for _ in range(rng.randrange(8)))
         assert words.ids(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_other_tokenizer_files_tokenise_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, words = Tokenizer.from_file(path), packing.WordTokens(path)
+    assert not words.by_word
+    for text in ("Two  words,\n\tand É<|endoftext|> more.", "", " a "):
+        assert words.ids(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_crossover_beats_greedy():
+    """Bins that can be filled exactly, by three pieces each, which greedy filling misses."""
+    rng, better, lost = random.Random(4), 0, 0
+    for k in range(12):
+        counts: Counter = Counter()
+        for _ in range(20):
+            a = rng.randrange(300, 450)
+            b = rng.randrange(270, 1000 - a - 260)
+            counts.update((a, b, 1000 - a - b))
+        greedy = sum(packing.best_fit(counts, 1000).values())
+        found = packing.fitness(packing.evolve([], counts, 1000, 150, 8, k)[0], 1000)[0]
+        assert packing.lower_bound(counts, 1000) <= found <= greedy
+        better += found < greedy
+        lost += greedy > packing.lower_bound(counts, 1000)
+    assert lost >= 6 and better >= lost // 2, (lost, better)
+
+
 def test_packing_search_improves_and_keeps_all():
     rng = random.Random(2)
     for _ in range(20):
