@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.sources.scratch import forget, written
 
-__all__ = ["WORD", "forget", "seeded_key", "shuffle_partitions", "table", "word_count", "written"]
+__all__ = ["WORD", "forget", "fresh", "give_back", "quoted", "seeded_key", "shuffle_partitions", "table", "unpacked", "whole_rows", "word_count", "written"]
 
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,3 +33,35 @@ def word_count(text: Column) -> Column:
 def seeded_key(seed: int, *cols: Column) -> Column:
     """Hex string that orders rows at random but the same way in every run."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols]))
+
+
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by their exact names, dots and back-ticks too."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """A name like ``name`` that differs from all taken ones, whatever their case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def whole_rows(df: DataFrame, **more: Column) -> DataFrame:
+    """All columns of df as one struct ``row``, and columns worked out from them, so that no names can clash."""
+    return df.select(F.struct(*quoted(df.columns)).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def unpacked(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """The columns of the struct ``row`` again."""
+    return df.select(*[F.col("row").getField(name).alias(name) for name in names])
+
+
+def give_back() -> None:
+    """Returns what a Python worker has freed to the machine; workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it has its own ways
+        pass

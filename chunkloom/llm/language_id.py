@@ -6,12 +6,12 @@ bytes and t distinct ones escapes with t / (n + t)), with exclusion of the bytes
 the longer context has seen, down to equal chances for all 256. Statistics are frozen
 after training, so the code length of every byte in every context is worked out once,
 into a table; scoring a text is then a look-up for each byte, and the language with
-the shortest code wins.
+the shortest code wins. Where there are many languages, their tables are made and used
+block by block, so a worker holds those of a few languages at a time.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,16 +19,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from chunkloom.llm._common import table
+from chunkloom.llm._common import fresh, give_back, quoted, table
 
 UNKNOWN = "und"
 #: Training rows of a language, about; where it has more, so many are chosen by a hash of their id.
 TRAIN_ROWS = 4000
 #: Contexts with the byte behind them (four bytes) that a language keeps, the most frequent ones.
 TREE_LEAVES = 200_000
-#: Languages that are learned, those with most rows.
-LANGUAGES = 200
+#: Bytes of code lengths that a worker holds at a time, unless one language alone takes more.
+TABLE_BYTES = 48 << 20
+#: Bytes of text that are scored at once, and that wait for their turn where there are several blocks of languages.
+SCORED_BYTES, WAITING_BYTES = 1 << 18, 32 << 20
 _START = b"\n\n\n"
 
 
@@ -80,7 +83,7 @@ class ContextTrees:
         triples = np.unique((sym[0] * size + sym[1]) * size + sym[2])
         ones, twos = size, len(pairs)
         rows = ones + twos + len(triples)
-        row_of_pair = np.arange(size * size) % size
+        row_of_pair = (np.arange(size * size) % size).astype(np.int32)
         row_of_pair[pairs] = ones + np.arange(twos)
         self.state = np.tile(row_of_pair, size)
         self.state[triples] = ones + twos + np.arange(len(triples))
@@ -126,83 +129,130 @@ class ContextTrees:
         return first, second, third
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of every text under every language."""
+        """Bits of every text under every language. A long text is taken in parts, each with the three bytes before it."""
         out = np.zeros((len(texts), len(self.languages)))
-        flat = self.bits.reshape(-1, len(self.languages))
-        at, size = 0, self.size
-        while at < len(texts):
-            some, total = [], 0
-            while at < len(texts) and (not some or total < 1 << 19):
-                some.append(_START + texts[at])
-                total += len(texts[at])
-                at += 1
-            sym = self.symbol[np.frombuffer(b"".join(some), np.uint8)]
-            rows = self.state[(sym[:-3] * size + sym[1:-2]) * size + sym[2:-1]]
-            cost = flat[rows * size + sym[3:]].astype(np.float64)
-            ends = np.cumsum([len(t) for t in some])
-            sums = np.concatenate((np.zeros((1, cost.shape[1])), np.cumsum(cost, axis=0)))
+        parts, owner, waiting = [], [], 0
+
+        def score() -> None:
+            sym = self.symbol[np.frombuffer(b"".join(parts), np.uint8)]
+            rows = self.state[(sym[:-3] * self.size + sym[1:-2]) * self.size + sym[2:-1]]
+            cost = self.bits.reshape(-1, len(self.languages))[rows * self.size + sym[3:]]
+            ends = np.cumsum([len(t) for t in parts])
             begins = np.concatenate(([0], ends[:-1]))
-            out[at - len(some) : at] = sums[ends - 3] - sums[begins]
+            # sums of [begin, end - 3) and, unread, of what lies between two texts
+            places = np.stack((begins, ends - 3), 1).ravel()[:-1]
+            np.add.at(out, owner, np.add.reduceat(cost, places, axis=0, dtype=np.float64)[::2])
+
+        for k, text in enumerate(texts):
+            for at in range(0, len(text), SCORED_BYTES):
+                before = (_START + text[max(0, at - 3) : at])[-3:]
+                parts.append(before + text[at : at + SCORED_BYTES])
+                owner.append(k)
+                waiting += len(parts[-1])
+                if waiting >= SCORED_BYTES:
+                    score()
+                    parts, owner, waiting = [], [], 0
+        if parts:
+            score()
         return out
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, leaves: int = TREE_LEAVES) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Counts of four bytes by language, from rows (id, lang, text) with a language.
 
-    Bounded: a language learns from about train_rows rows, chosen by a hash of the id,
-    and keeps its ``leaves`` most frequent runs; at most LANGUAGES languages.
+    Every language is learned, from about train_rows rows chosen by a hash of the id; it
+    keeps its ``leaves`` most frequent runs, so what is sent is bounded by the languages.
     """
     clean = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = clean.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return {}
-    share: Column = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(train_rows / r["count"])).otherwise(share)
-    sample = clean.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < share * 1_000_000)
+    # a row for each language
+    sizes = clean.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    sample = clean.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < F.lit(train_rows * 1_000_000) / F.col("rows"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     found = four_byte_counts(sample).withColumn("r", best).where(F.col("r") <= leaves).select("lang", "gram", "n").toPandas()
     return {lang: (part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.int64)) for lang, part in found.groupby("lang")}
 
 
-_trees: dict[str, ContextTrees] = {}
-
-
-def identified(texts: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def blocks(counts: dict[str, tuple[np.ndarray, np.ndarray]], most: int = TABLE_BYTES) -> list[list[str]]:
+    """Languages in order of their names, dealt into blocks whose tables take at most about ``most`` bytes, or hold one language."""
+    out: list[list[str]] = []
+    for lang in sorted(counts):
+        gram = counts[lang][0]
+        used = np.unique(np.concatenate([(gram >> s) & 255 for s in (24, 16, 8, 0)])) if len(gram) else gram
+        contexts = len(np.unique(gram >> 8)) + len(np.unique((gram >> 8) & 0xFFFF)) + 256
+        if out:
+            now_contexts, now_used = contexts + together[0], np.union1d(used, together[1])
+            if now_contexts * (len(now_used) + 1) * (len(out[-1]) + 1) * 4 <= most:
+                out[-1].append(lang)
+                together = now_contexts, now_used
+                continue
+        out.append([lang])
+        together = contexts, used
+    return out
+
+
+def identified(texts: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]], table_bytes: int = TABLE_BYTES) -> DataFrame:
     """texts plus ``lang_pred, score, bits_per_byte``; only the column text is looked at.
 
     lang_pred is the language with the shortest code, the first by name of equals, or
     ``und`` if the text is null or has no letter (or nothing was learned); score is the
     probability of that language, equal before, among those learned: 0 with ``und``.
+    Every row is answered, repeated ones too; an empty table gives an empty result. Texts
+    are read whole, long ones in parts. Columns of texts pass unchanged, but one that has
+    the name of a result gives way to it.
     """
-    spark = texts.sparkSession
-    sent, name = spark.sparkContext.broadcast(counts), uuid.uuid4().hex
-    own = [c for c in texts.columns if c not in ("lang_pred", "score", "bits_per_byte")]
-    kinds = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
+    turns = blocks(counts, table_bytes)
+    results = ["lang_pred", "score", "bits_per_byte"]
+    own = [c for c in texts.columns if c.lower() not in results]
+    raw_text, letter = fresh(own, "text"), fresh(own, "letter")
+
+    def answer(batches: list[pa.RecordBatch], trees: list[ContextTrees | None]) -> Iterator[pa.RecordBatch]:
+        every = sent.value
+        languages = sorted(every)
+        wanted = [[k for k, a in enumerate(b.column(letter).to_pylist()) if a and languages] for b in batches]
+        bits = [np.zeros((len(w), len(languages))) for w in wanted]
+        at = 0
+        for turn, block in enumerate(turns):
+            if trees[turn] is None:
+                now = ContextTrees({lang: every[lang] for lang in block})
+                if len(turns) == 1:  # the only table is kept while the task lasts
+                    trees[turn] = now
+            else:
+                now = trees[turn]
+            for b, w, found in zip(batches, wanted, bits, strict=True):
+                texts_ = b.column(raw_text)
+                for some in range(0, len(w), 256):
+                    found[some : some + 256, at : at + len(block)] = now.code_lengths([texts_[k].as_py() for k in w[some : some + 256]])
+            at += len(block)
+            del now
+        for b, w, found in zip(batches, wanted, bits, strict=True):
+            size = pc.binary_length(b.column(raw_text)).to_pylist()
+            lang, chance, each = [UNKNOWN] * len(size), [0.0] * len(size), [None] * len(size)
+            best = found.argmin(1) if w else []
+            for k, row, x in zip(w, found, best, strict=True):
+                lang[k] = languages[x]
+                chance[k] = float(1 / np.exp2(np.maximum(row[x] - row, -1000)).sum())
+                each[k] = float(row[x] / max(1, size[k]))
+            kept = b.drop_columns([raw_text, letter])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lang, pa.string()), pa.array(chance, pa.float64()), pa.array(each, pa.float64())], [*kept.schema.names, *results])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _trees:  # a worker builds the table once
-            _trees.clear()
-            _trees[name] = ContextTrees(sent.value)
-        trees = _trees[name]
+        trees: list[ContextTrees | None] = [None] * len(turns)
+        waiting, size = [], 0
         for batch in batches:
-            raw, letters = batch.column("text").cast(pa.binary()), batch.column("_letter").to_pylist()
-            known = [k for k, a in enumerate(letters) if a and trees.languages]
-            bits = [trees.code_lengths([raw[k].as_py() for k in known[at : at + 256]]) for at in range(0, len(known), 256)]
-            bits = np.concatenate(bits) if bits else np.zeros((0, 1))
-            lang, chance, each = [UNKNOWN] * len(raw), [0.0] * len(raw), [None] * len(raw)
-            size = pc.binary_length(raw).to_pylist()
-            best = bits.argmin(1) if known else []
-            for k, row, b in zip(known, bits, best, strict=True):
-                lang[k] = trees.languages[b]
-                chance[k] = float(1 / np.exp2(np.maximum(row[b] - row, -1000)).sum())
-                each[k] = float(row[b] / max(1, size[k]))
-            kept = batch.drop_columns(["_letter"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lang, pa.string()), pa.array(chance, pa.float64()), pa.array(each, pa.float64())], [*kept.schema.names, "lang_pred", "score", "bits_per_byte"])
-
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in own), "lang_pred string", "score double", "bits_per_byte double"])
-    told = texts.select(*own, letter.alias("_letter"))
+            waiting.append(batch)
+            size += batch.nbytes
+            if len(turns) <= 1 or size >= WAITING_BYTES:
+                yield from answer(waiting, trees)
+                waiting, size = [], 0
+        if waiting:
+            yield from answer(waiting, trees)
+        trees.clear()
+        give_back()
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    told = texts.select(*quoted(own), text.cast("binary").alias(raw_text), text.rlike(r"\p{L}").alias(letter))
+    schema = StructType([*texts.select(*quoted(own)).schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())])
     return told.mapInArrow(score, schema)
 
 

@@ -316,7 +316,7 @@ def test_substring_dedup(spark, nothing):
 # ---------------------------------------------------------------- 1
 
 
-def test_context_trees_are_a_code():
+def test_context_trees_are_a_code(monkeypatch):
     rng = random.Random(1)
     counts = {}
     for lang, letters in (("a", "abcd "), ("b", "cdef. ")):
@@ -359,6 +359,25 @@ def test_context_trees_are_a_code():
     got = trees.code_lengths(texts)
     want = np.array([[slow(lang, t) for lang in trees.languages] for t in texts])
     assert np.allclose(got, want, rtol=1e-4)
+    monkeypatch.setattr(language_id, "SCORED_BYTES", 3)
+    assert np.allclose(trees.code_lengths([*texts, b"abc d" * 50]), [*want, [slow(lang, b"abc d" * 50) for lang in trees.languages]], rtol=1e-4)
+
+
+def test_many_languages_are_scored_block_by_block(spark):
+    rng = random.Random(7)
+    names = [f"l{k:03}" for k in range(230)]
+    words = {n: ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(6)] for n in names}
+    rows = [(k * 1000 + d, n, " ".join(rng.choice(words[n]) for _ in range(30))) for k, n in enumerate(names) for d in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(2)
+    counts = language_id.learned(df)
+    assert sorted(counts) == names
+    assert [n for b in language_id.blocks(counts, 1 << 20) for n in b] == names and len(language_id.blocks(counts, 1 << 20)) > 3
+    assert all(len(b) == 1 for b in language_id.blocks(counts, 1))
+    some = df.where("doc_id % 1000 < 2")
+    small = language_id.identified(some, counts, 1 << 20).toPandas().sort_values("doc_id")
+    whole = language_id.identified(some, counts).toPandas().sort_values("doc_id")
+    assert (small["lang_pred"] == whole["lang_pred"]).all() and np.allclose(small["score"], whole["score"], atol=1e-4)
+    assert (small["lang_pred"] == small["lang"]).mean() > 0.95
 
 
 def test_language_id(spark, sf_dir, docs, nothing):
@@ -368,8 +387,9 @@ def test_language_id(spark, sf_dir, docs, nothing):
     out = merged[merged["held_out"]]
     assert (out["lang_pred"] == out["lang"]).mean() > 0.95 and len(found) == len(truth)
     assert all(h == (zlib.crc32(str(d).encode()) % 4 == 2) for d, h in zip(found["doc_id"], found["held_out"], strict=True))
-    got = {r["doc_id"]: r for r in language_id.identified(docs, language_id.learned(docs)).collect()}
-    assert len(got) == len({r for r in got})
+    every = language_id.identified(docs, language_id.learned(docs)).collect()
+    assert Counter(r["doc_id"] for r in every) == Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+    got = {r["doc_id"]: r for r in every}
     for k, text in enumerate([None, "", "  \n\t "]):
         assert (got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0), text
     assert got[3]["lang_pred"] in ("en", "fr", "de") and 0 < got[3]["score"] <= 1
