@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm._common import table
-from chunkloom.llm._grams import Words, chunked, deal, reduced
+from chunkloom.llm._grams import PART_OF_ID, Words, chunked, deal, reduced
 
 WINDOW = 50
 
@@ -29,13 +29,15 @@ def _windows(texts: list[bytes], width: int) -> tuple[Words, np.ndarray, np.ndar
 
 
 def _later(chunks: np.ndarray, packets: list[bytes]) -> tuple[list[int], list[bytes]]:
-    """Of each chunk's hashes those that a smaller chunk has too; chunks come in order."""
+    """Of each chunk's hashes those that a smaller chunk, not another part of its id, has too; chunks come in order."""
     parts = [np.frombuffer(p, "<u8") for p in packets]
     every = np.concatenate(parts)
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     order = np.argsort(every, kind="stable")
-    again = np.flatnonzero(every[order][1:] == every[order][:-1]) + 1
-    hit = np.sort(order[again])
+    ranked, place = every[order], (np.asarray(chunks) >> PART_OF_ID)[owner[order]]
+    head = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, bool)
+    lead = place[np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))] if len(ranked) else place
+    hit = np.sort(order[place > lead])
     cut = np.searchsorted(owner[hit], np.arange(len(parts) + 1))
     found = [(int(c), every[hit[a:b]].tobytes()) for c, a, b in zip(chunks, cut, cut[1:], strict=False) if b > a]
     return [c for c, _ in found], [p for _, p in found]
@@ -47,8 +49,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept is the text of the words that stay, joined by one space; removed are the
     maximal intervals ``begin, end`` of words that go (end exclusive). A word goes if a
     window of width words that covers it also starts in a row with a smaller id; rows
-    that share an id do not count against each other, and rows with a null id come after
-    all others (in an order of their texts' hashes). Null and short texts lose nothing.
+    that share an id, or have none, do not count against each other, and rows with a null
+    id come after all others. Ids must be integers. Null and short texts lose nothing; an
+    empty table gives an empty result; other columns are not read. A very long text is
+    worked on whole, by one task.
     """
     rows, _, buckets = chunked(docs, id_col, text_col)
 
