@@ -5,8 +5,8 @@ from rare to common over all documents; two sets with Jaccard similarity t share
 shingle among the first n - ceil(t n) + 1 of each. A shingle that only one document
 has can't be shared, so only the others of a prefix are joined on.
 
-Equal sets are one node of the join, and what matters are classes: documents that
-links reach. Families of near copies would give a number of pairs that grows with the
+Equal sets are one node of the join, a document whose id is repeated with several texts
+links its nodes, and what matters are classes: documents that links reach. Families of near copies would give a number of pairs that grows with the
 square of their size, so links are sought in turns. First every document is compared
 with one hub for each of its rarest prefix shingles; after that whole families are
 connected. Then, for each prefix shingle, only pairs whose documents are not yet in
@@ -188,22 +188,35 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n is the number of distinct shingles; component the smallest id reachable over
     links, the row's own included. Rows link when 100 * common >= percent * union of
     their sets. Null and empty texts have the empty set and link with nothing. Rows
-    that share an id are one node; rows with a null id link with nothing.
+    that share an id share all their links; rows with a null id link with nothing. Ids
+    must be integers; other columns are not read; an empty table gives an empty result.
+    A very long text is worked on whole, by one task.
     """
     every = written(prefixes(docs, id_col, text_col, shingle, percent), "join-prefixes")
-    # equal sets are one node: their smallest id
+    # equal sets are one node, with a number of its own and the smallest id that has it
     named = every.where(F.col("sig").isNotNull() & F.col("id").isNotNull())
-    nodes = written(named.groupBy("sig").agg(F.min("id").alias("node")), "join-nodes")
-    sets = named.where(F.size("toks") > 0).join(nodes.select(F.col("node").alias("id"), "sig"), ["id", "sig"]).select("id", "n", "first", "toks", "shared", "parts").dropDuplicates(["id"])
+    distinct = written(named.groupBy("sig").agg(F.min("id").alias("lo")), "join-distinct")
+    nodes = written(distinct.select(F.monotonically_increasing_id().alias("node"), "sig", "lo"), "join-nodes")
+    forget(distinct)
+    sets = named.where(F.size("toks") > 0).join(nodes.withColumnRenamed("lo", "id"), ["id", "sig"]).select(F.col("node").alias("id"), "n", "first", "toks", "shared", "parts").dropDuplicates(["id"])
     sets = written(sets, "join-sets")
+    # the nodes of an id with several texts are linked by that id
+    several = named.groupBy("id").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("id", "low")
+    told = named.select("id", "sig").join(several, "id").select("sig", "low").distinct()
+    told = told.join(nodes.select("sig", F.col("node").alias("a")), "sig").join(nodes.select(F.col("sig").alias("low"), F.col("node").alias("b")), "low")
+    linked = written(told.where("a <> b").select("a", "b"), "join-same-id")
     rows = sets.select("id", "n", F.posexplode("toks").alias("k", "tok"), "first").select("tok", "id", "n", (F.col("first") + F.col("k")).alias("pos"))
     # prefix shingles of one node alone are of no use
     common = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok")
     common = written(common, "join-common")
     rows = written(rows.join(common, "tok", "left_semi"), "join-rows")
     forget(common)
-    linked, classes = None, sets.select("id", F.col("id").alias("component")).limit(0)
-    label = sets.select("id", F.col("id").alias("label"))
+    classes = written(components(linked), "join-classes")
+
+    def labels() -> DataFrame:
+        return written(sets.select("id").join(classes, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "join-labels")
+
+    label = labels()
 
     def side(x: str, df: DataFrame) -> DataFrame:
         return df.select("tok", *[F.col(c).alias(f"{x}_{c}") for c in df.columns if c != "tok"])
@@ -247,13 +260,15 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pairs = found.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
         links = checked(pairs)
         forget(*used)
-        linked = links if linked is None else linked.unionByName(links)
+        linked = linked.unionByName(links)
+        forget(classes, label)
         classes = written(components(linked), "join-classes")
-        label = written(sets.select("id").join(classes, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "join-labels")
+        label = labels()
 
-    final = nodes.join(classes.withColumnRenamed("id", "node"), "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
-    final = written(final, "join-final")
-    forget(rows, sets, nodes)
+    named = written(nodes.join(classes.withColumnRenamed("id", "node"), "node", "left").select("sig", "lo", F.coalesce("component", "node").alias("class")), "join-named")
+    least = named.groupBy("class").agg(F.min("lo").alias("component"))
+    final = written(named.select("sig", "class").join(least, "class").select("sig", "component"), "join-final")
+    forget(rows, sets, nodes, named, classes, label)
     return every.select("id", "n", "sig").join(final, "sig", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 

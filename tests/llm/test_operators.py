@@ -14,7 +14,7 @@ import pytest
 from conftest import same
 from pyspark.sql import functions as F
 
-from chunkloom.llm import exact_dedup, html_extraction, language_id, mixing, nearest, ngram_join, packing, pii, quality, queries, substring_dedup
+from chunkloom.llm import _grams, exact_dedup, html_extraction, language_id, mixing, nearest, ngram_join, packing, pii, quality, queries, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, row int, size int, chunk int, label int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -261,6 +261,31 @@ def test_ngram_join(spark, docs, awkward, nothing):
     assert [r["component"] for r in lone] == [None, None]
 
 
+def test_ngram_join_links_all_texts_of_an_id(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 60, 5000) for _ in range(3))
+    rows = [(5, a), (5, b), (2, a + " one"), (3, b + " one"), (7, c), (7, c), (8, b + " two"), (9, "alone")]
+    for part in (rows, rows[::-1]):
+        got = ngram_join.similarity_classes(spark.createDataFrame(part, "doc_id long, text string").repartition(3)).collect()
+        assert {r["id"]: r["component"] for r in got} == {5: 2, 2: 2, 3: 2, 8: 2, 7: 7, 9: 9}
+
+
+@pytest.mark.parametrize("kind", ["clustered", "long region", "one id", "no id"])
+def test_chunks_are_bounded_by_bytes(spark, kind):
+    target = 20_000
+    n = spark.range(0, 4000, 1, 8).select(F.col("id").alias("k"), F.monotonically_increasing_id().alias("far"))
+    text = F.repeat(F.concat(F.col("k").cast("string"), F.lit(" ")), F.when((F.col("k") > 3000) & F.lit(kind == "long region"), 300).otherwise(8))
+    doc_id = {"clustered": F.col("far"), "long region": F.col("k"), "one id": F.when(F.col("k") % 3 == 0, F.lit(7)).otherwise(F.col("k")), "no id": F.when(F.col("k") % 3 > 0, F.col("k"))}[kind]
+    rows, chunks, _ = _grams.chunked(n.select(doc_id.cast("long").alias("doc_id"), text.alias("text")), "doc_id", "text", target)
+    got = rows.groupBy("chunk").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy("chunk").collect()
+    assert max(r["bytes"] for r in got) <= (1.5 if kind in ("one id", "no id") else 1.0) * target
+    assert len(got) < 2 * chunks + 8
+    for x, y in zip(got, got[1:], strict=False):
+        if y["lo"] is not None and x["chunk"] >> _grams.PART_OF_ID != y["chunk"] >> _grams.PART_OF_ID:
+            assert x["hi"] < y["lo"]
+    assert rows.count() == 4000
+
+
 def test_ngram_join_families(spark):
     """Families whose members are on either side of the threshold: no link may be lost."""
     rng = random.Random(8)
@@ -284,7 +309,7 @@ def test_ngram_join_families(spark):
 # ---------------------------------------------------------------- 9
 
 
-def test_substring_dedup(spark, nothing):
+def test_substring_dedup(spark, nothing, monkeypatch):
     rng = random.Random(4)
     passage = prose(rng, 80)
     texts = [prose(rng, 120), prose(rng, 30) + " " + passage + " " + prose(rng, 40), passage, None, "", prose(rng, 49), passage + "\n" + passage, prose(rng, 10) + "\t" + passage[: len(passage) // 2]]
@@ -309,6 +334,9 @@ def test_substring_dedup(spark, nothing):
     assert all(sum(i["end"] - i["begin"] for i in r["removed"]) == r["n_removed"] for r in got)
     assert any(n for _, _, n, _ in want)
     assert substring_dedup.repeated_windows(nothing).count() == 0
+    monkeypatch.setattr(_grams.chunked, "__defaults__", (700,))  # many chunks, and ids in several
+    got = substring_dedup.repeated_windows(df).collect()
+    assert Counter((r["id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == want
     lone = substring_dedup.repeated_windows(df.unionByName(spark.createDataFrame([(None, passage, None)], df.schema))).where("id is null").collect()
     assert [(r["n_removed"], r["kept"]) for r in lone] == [(80, "")]
 
