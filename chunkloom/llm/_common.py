@@ -6,15 +6,18 @@ import ctypes
 from collections.abc import Iterable
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.sources.scratch import forget, written
 
-__all__ = ["WORD", "forget", "fresh", "give_back", "quoted", "seeded_key", "shuffle_partitions", "table", "unpacked", "whole_rows", "word_count", "written"]
+__all__ = ["TOLD_ROWS", "WORD", "few", "forget", "fresh", "give_back", "placed", "quoted", "seeded_key", "shuffle_partitions", "table", "told", "unpacked", "whole_rows", "word_count", "written"]
 
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of two numbers that are broadcast, at most; more are joined by a shuffle.
+TOLD_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +61,43 @@ def unpacked(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col("row").getField(name).alias(name) for name in names])
 
 
+def _is_plain(plan) -> bool:  # noqa: ANN001
+    """Whether a logical plan reads files and at most filters and projects their rows."""
+    kind = plan.getClass().getSimpleName()
+    return kind == "LogicalRelation" or (kind in ("Project", "Filter", "SubqueryAlias") and _is_plain(plan.child()))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns as a struct), ``file, at``: which file holds the row, and where, which is the same at every reading.
+
+    Where docs are more than rows of files they are written once first.
+    """
+
+    def places(df: DataFrame) -> DataFrame:
+        meta = df.metadataColumn("_metadata")
+        return df.select(F.struct(*quoted(df.columns)).alias("row"), F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at"))
+
+    plan = docs._jdf.queryExecution().analyzed()
+    if _is_plain(plan) and plan.deterministic():
+        try:
+            found = places(docs)
+            if found.schema:  # analysed here: files of other formats have no places
+                return found
+        except AnalysisException:
+            pass
+    return places(written(docs, "placed"))
+
+
+def few(places: DataFrame) -> bool:
+    """Whether a written table of places or ids is small enough to be told to every task."""
+    return places.count() <= TOLD_ROWS
+
+
+def told(places: DataFrame) -> DataFrame:
+    """A written table of places or ids, broadcast if it is counted to be small enough."""
+    return F.broadcast(places) if few(places) else places
+
+
 def give_back() -> None:
     """Returns what a Python worker has freed to the machine; workers live on after their tasks."""
     pa.default_memory_pool().release_unused()

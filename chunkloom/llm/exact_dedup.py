@@ -1,22 +1,24 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
 Each level groups only what the level before left in a group of two or more: most
-rows never reach the shuffle on the full hash. Lengths, prefix hashes and digests are
-taken where the text is read, in one scan, and only these few bytes move: hashing a
-text costs less than moving it to the task that knows which groups survived, and the
-query reports every row's digest. Groups are aggregated before the shuffle (a third
-of all rows may be one text); they are joined back by sort-merge joins, whose large
-partitions adaptive execution splits.
+rows never reach the shuffle on the full hash. Lengths and prefix hashes are taken where
+the text is read, and only these few bytes move. ``exact_groups`` reports the digest of
+every row, so it takes that in the same scan. ``exact_dedup``, which reports none, hashes
+whole only the texts whose length and prefix occur more than once, and takes out the
+losers by their place in the files: no text moves while the rows that are left are few
+enough to be told to every task (they are counted first). Groups are aggregated before
+the shuffle (a third of all rows may be one text); they are joined back by sort-merge
+joins, whose large partitions adaptive execution splits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import table, written
+from chunkloom.llm._common import few, forget, placed, table, told, unpacked, written
 
 
 def _surviving(rows: DataFrame, *keys: str) -> DataFrame:
@@ -61,16 +63,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns unchanged, one of each group of equals."""
-    groups = exact_groups(docs, id_col, text_col).where("group_size > 1").groupBy("id", "sha256").agg(F.first("keep_id").alias("_stays"))
-    groups = written(groups.select(F.xxhash64("id").alias("_k"), F.col("id").alias("_id"), F.col("sha256").alias("_sha"), "_stays"), "exact-copies")
-    marked = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).withColumn("_key", F.xxhash64(id_col))
-    found = marked.join(groups, (F.col("_key") == F.col("_k")) & (F.col("_digest") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    kept = found.where(F.col("_sha").isNull() | F.col("_stays").eqNullSafe(F.col("_id")))
-    # of rows that repeat both id and text one stays; the window has the keys of the join, so texts move once
-    twin = F.row_number().over(Window.partitionBy("_key", "_digest").orderBy("_key"))
-    return kept.withColumn("_twin", twin).where("_twin = 1").select(*docs.columns)
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
+    """The rows of docs that stay, all columns unchanged, one of each group of equals.
+
+    Which one stays is what ``exact_groups`` says. Names of columns don't matter, but no two
+    may differ in case only; an empty table gives an empty result.
+    """
+    rows = placed(docs)
+    row_id, text = F.col("row").getField(id_col), F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    slim = written(rows.select("file", "at", row_id.alias("id"), F.octet_length(text).alias("len"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix")), "exact-slim")
+    alike = written(_surviving(_surviving(slim, "len"), "len", "prefix").select("file", "at", "id"), "exact-alike")
+    small = few(alike)
+    # where the rows that are left are too many to be told, every text is hashed where it is read: to move it costs more
+    left = rows.join(F.broadcast(alike.select("file", "at")), ["file", "at"], "left_semi") if small else rows
+    digests = left.select("file", "at", F.sha2(text, 256).alias("sha256"))
+    digests = written(digests if small else digests.join(alike.select("file", "at"), ["file", "at"], "left_semi"), "exact-digests")
+    digests = digests.join(alike, ["file", "at"])
+    order = F.struct("id", "file", "at")
+    best = written(digests.groupBy("sha256").agg(F.max(order).alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha256", "k.file", "k.at"), "exact-best")
+    lost = digests.select("file", "at", "sha256").join(best.select("sha256"), "sha256", "left_semi").select("file", "at").join(best, ["file", "at"], "left_anti")
+    lost = written(lost, "exact-lost")
+    forget(slim, alike)
+    return unpacked(rows.join(told(lost), ["file", "at"], "left_anti"), docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

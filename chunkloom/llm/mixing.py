@@ -83,16 +83,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), facto
 
 
 def mixed(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), factor: float = 1.5, most: float = 2.0, seed: int = 7
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), factor: float = 1.5, most: float = 2.0, seed: int = 7, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per input row: ``id, src, size, source_size, target, taken``.
+    """One row per input row: ``id, src, size, source_size, target, taken`` and the columns named by keep.
 
     taken is the number of words of the row that the mix takes, repeats counted; it is
     at most ``most`` (2) times the row's size. Null text has size 0; a null source is a
     source of its own. Rows that share an id are kept apart by size only, so equal rows
-    share one place in the seeded order. An empty table gives an empty result.
+    share one place in the seeded order. Other columns are not read; those of ``keep`` must
+    not have names of this function's own columns. An empty table gives an empty result.
     """
-    slim = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    slim = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), *keep), "mix-sizes")
     sizes = slim.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     targets = written(source_targets(sizes.select("src", "source_size"), weights, factor, most).join(sizes.select(F.col("src").alias("_s"), "rows"), F.col("src").eqNullSafe(F.col("_s"))).drop("_s"), "mix-targets", 1)
     budget = F.sum("target").over(Window.partitionBy())
@@ -121,7 +122,7 @@ def mixed(
         return F.greatest(F.lit(0), F.least(F.col("size"), stop - n * F.col("shard_size") - F.col("begin")))
 
     taken = sum((lap(n) for n in range(1, int(most))), lap(0))
-    return out.select("id", "src", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("id", "src", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

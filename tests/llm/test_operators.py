@@ -14,7 +14,8 @@ import pytest
 from conftest import same
 from pyspark.sql import functions as F
 
-from chunkloom.llm import _grams, exact_dedup, html_extraction, language_id, mixing, nearest, ngram_join, packing, pii, quality, queries, substring_dedup
+from chunkloom.llm import _common, _grams, exact_dedup, html_extraction, language_id, mixing, nearest, ngram_join, packing, pii, quality, queries, substring_dedup
+from chunkloom.llm._common import placed, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, row int, size int, chunk int, label int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,7 +64,7 @@ def test_against_sql(name, spark, duck, sf_dir):
 # ---------------------------------------------------------------- 8
 
 
-def test_exact_dedup(spark, docs, awkward, nothing):
+def test_exact_dedup(spark, docs, awkward, nothing, monkeypatch):
     groups = defaultdict(list)
     for r in awkward:
         groups[r[1] or ""].append(r[0])
@@ -79,6 +80,19 @@ def test_exact_dedup(spark, docs, awkward, nothing):
     assert Counter((r["doc_id"], r["text"] or "") for r in out.collect()) == Counter((max(ids), t) for t, ids in groups.items())
     assert exact_dedup.exact_groups(nothing).count() == exact_dedup.exact_dedup(nothing).count() == 0
     assert exact_dedup.exact_dedup(with_null_id(spark, docs)).where("doc_id is null").count() == 1
+    # rows of files, where survivors and losers are too many to be told to every task
+    monkeypatch.setattr(_common, "TOLD_ROWS", 0)
+    stored = written(docs, "t-exact")
+    assert sorted(map(str, exact_dedup.exact_dedup(stored).collect())) == sorted(map(str, out.collect()))
+    plan = exact_dedup.exact_dedup(stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert "placed" not in plan
+
+
+def test_places_are_only_those_of_plain_rows_of_files(spark, docs):
+    stored = written(docs.select("doc_id", "text"), "t-places")
+    assert placed(stored).select("file", "at").distinct().count() == stored.count()
+    twice = stored.join(spark.range(2).withColumnRenamed("id", "time"), how="cross")
+    assert placed(twice).select("file", "at").distinct().count() == 2 * stored.count()
 
 
 # ---------------------------------------------------------------- 3

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from chunkloom.llm._common import written
 from tests.llm.test_operators import SCHEMA, WORD, awkward, components_of, docs, nothing, shingle_sets  # noqa: F401
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -70,4 +71,20 @@ def test_nulls(spark, docs, sf_dir, column):  # noqa: F811
     df = docs.withColumn(column, docs[column].substr(1, 0).cast(docs.schema[column].dataType) if column != "doc_id" else docs[column] * None).limit(12)
     for name, stage in corpus_pipeline.STAGES:
         df = written(stage(spark, df, sf_dir), f"nulls-{name}")
-    assert df.count() >= 0
+    assert df.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert df.where("length < 1 or offset < 0 or offset + length > 2048").count() == 0
+    assert df.groupBy("sequence_id").agg({"length": "sum", "offset": "max"}).where("`sum(length)` > 2048").count() == 0
+
+
+CLASHING = ["score", "lang_pred", "bits_per_byte", "taken", "size", "row", "file", "at", "_key", "_digest", "_gone", "_id", "_words", "id", "a.b", "sha256", "letter", "_text", "chunk", "component"]
+
+
+def test_columns_of_any_name_pass_unchanged(spark, docs, sf_dir):  # noqa: F811
+    df = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, df = df, written(stage(spark, df, sf_dir), f"clash-{name}")
+        assert df.columns == before.columns, name
+        assert 0 < df.count(), name
+        for r in df.collect():
+            assert [r[c] for c in CLASHING] == [f"{c}:{'-' if r['doc_id'] is None else r['doc_id']}" for c in CLASHING], name
+    assert STAGES["packing"](spark, df, sf_dir).count() > 0
