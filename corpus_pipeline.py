@@ -9,12 +9,12 @@ columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm import exact_dedup as exact
 from chunkloom.llm import language_id, mixing, ngram_join, packing
-from chunkloom.llm._common import WORD, table, word_count, written
+from chunkloom.llm._common import WORD, placed, table, told, unpacked, whole_rows, word_count, written
 from chunkloom.sources.shipping import ship
 
 #: A document whose language is less probable than this is rejected.
@@ -24,8 +24,9 @@ LEAST_SCORE = 0.5
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; those without letters or with an unsure language go."""
     ship(spark)
-    found = language_id.identified(docs, language_id.learned(docs))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    rows = whole_rows(docs, text=F.col("text"))
+    found = language_id.identified(rows, language_id.learned(docs))
+    return unpacked(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,9 @@ def thin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, the one with the smallest id; documents without an id stay."""
     ship(spark)
     classes = ngram_join.similarity_classes(docs)
-    stay = classes.where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    gone = written(classes.where("id <> component").select(F.col("id").alias("gone")).distinct(), "pipeline-gone")
+    rows = whole_rows(docs, id=F.col("doc_id"))
+    return unpacked(rows.join(told(gone), F.col("id") == F.col("gone"), "left_anti"), docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,18 +48,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A text that is taken whole is unchanged; the words of a part are joined by one space.
     """
-    taken = mixing.mixed(docs)
-    # rows that share id and size take their places in any order
-    taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("id", "size").orderBy("taken"))).select(F.col("id").alias("_id"), F.col("size").alias("_size"), F.col("_n").alias("_m"), "taken")
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    sized = sized.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy(F.xxhash64("text"))))
-    joined = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")) & (F.col("_n") == F.col("_m")))
+    rows = placed(docs)
+    own = F.col("row")
+    text, words = own.getField("text"), word_count(own.getField("text"))
+    slim = rows.select(own.getField("doc_id").alias("doc_id"), text.alias("text"), own.getField("source").alias("source"), "file", "at")
+    taken = mixing.mixed(slim, keep=("file", "at")).select("file", "at", "taken")
     # one row for each time round: how many of its words it takes
-    rounds = F.when(F.col("taken") > F.col("_words"), F.array(F.col("_words"), F.col("taken") - F.col("_words"))).otherwise(F.array(F.col("taken")))
-    each = joined.withColumn("_take", F.explode(rounds)).where((F.col("_take") > 0) | (F.col("_words") == 0))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take").cast("int")), " ")
-    text = F.when(F.col("_take") >= F.col("_words"), F.col("text")).otherwise(part)
-    return each.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rounds = F.when(F.col("taken") > words, F.array(words, F.col("taken") - words)).otherwise(F.array(F.col("taken")))
+    each = rows.join(taken, ["file", "at"]).select("row", words.alias("words"), F.explode(rounds).alias("take")).where("take > 0 or words = 0")
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("take").cast("int")), " ")
+    now = F.when(F.col("take") >= F.col("words"), text).otherwise(part)
+    new = {"text": now, "n_chars": F.length(now).cast("long")}
+    return each.select(*[new.get(name, own.getField(name)).alias(name) for name in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +75,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each stage's result written and read again."""
+    """All stages on documents, each stage's result written and read again.
+
+    The stages keep all columns of documents, whatever their names, but no two names may
+    differ in case only.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
