@@ -32,6 +32,8 @@ TREE_LEAVES = 200_000
 TABLE_BYTES = 48 << 20
 #: Bytes of text that are scored at once, and that wait for their turn where there are several blocks of languages.
 SCORED_BYTES, WAITING_BYTES = 1 << 18, 32 << 20
+#: Contexts whose code lengths are worked out at once.
+_ROWS = 1024
 _START = b"\n\n\n"
 
 
@@ -55,6 +57,7 @@ def four_byte_counts(texts: DataFrame) -> DataFrame:
                     for g, n in zip(*(x.tolist() for x in np.unique(gram[inside], return_counts=True)), strict=True):
                         total[g] = total.get(g, 0) + n
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "gram", "n"])
+        give_back()
 
     parts = texts.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(count, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -96,37 +99,40 @@ class ContextTrees:
             np.add.at(zero, s[3], n)
             np.add.at(one, (s[2], s[3]), n)
             np.add.at(two, (np.searchsorted(pairs, s[1] * size + s[2]), s[3]), n)
-            three = np.zeros((len(triples), size))
-            np.add.at(three, (np.searchsorted(triples, (s[0] * size + s[1]) * size + s[2]), s[3]), n)
             # chances without any context: equal for all 256 bytes that the language has not seen
             share = np.ones(size)
             share[0] = rare
-            self.bits[:ones, :, k], self.bits[ones : ones + twos, :, k], self.bits[ones + twos :, :, k] = self._levels(zero, one, two, three, share, up_pair, up_triple)
+            zeros = np.broadcast_to(zero, one.shape)
+            self.bits[:ones, :, k] = self._chain([one, zeros], share)
+            for lo in range(0, twos, _ROWS):
+                above = up_pair[lo : lo + _ROWS]
+                self.bits[ones + lo : ones + lo + len(above), :, k] = self._chain([two[lo : lo + _ROWS], one[above], zeros[above]], share)
+            place = np.searchsorted(triples, (s[0] * size + s[1]) * size + s[2])
+            by = np.argsort(place, kind="stable")
+            place, last, times = place[by], s[3][by], n[by]
+            for lo in range(0, len(triples), _ROWS):
+                above = up_triple[lo : lo + _ROWS]
+                own = slice(*np.searchsorted(place, (lo, lo + _ROWS)))
+                three = np.zeros((len(above), size))
+                np.add.at(three, (place[own] - lo, last[own]), times[own])
+                row = ones + twos + lo
+                self.bits[row : row + len(above), :, k] = self._chain([three, two[above], one[up_pair[above]], zeros[up_pair[above]]], share)
 
     @staticmethod
-    def _levels(zero: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray, share: np.ndarray, up_pair: np.ndarray, up_triple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Code lengths in bits under the contexts of one, two and three bytes."""
-
-        def chain(tables: list[np.ndarray]) -> np.ndarray:
-            """tables: counts of the context and then of its shorter ones, a row each."""
-            out = np.zeros_like(tables[0])
-            open_ = np.ones_like(tables[0], bool)  # symbols whose code is not yet found, the same as those not excluded
-            for t in tables:
-                n, kinds = np.where(open_, t, 0).sum(1, keepdims=True), (open_ & (t > 0)).sum(1, keepdims=True)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    hit, escape = -np.log2(t / (n + kinds)), np.where(n > 0, -np.log2(kinds / (n + kinds)), 0.0)
-                now = open_ & (t > 0)
-                out += np.where(now, np.nan_to_num(hit, posinf=0), np.where(open_, escape, 0.0))
-                open_ &= t == 0
-            rest = np.where(open_, share, 0).sum(1, keepdims=True)
-            # the symbol of the rare bytes stands for one of them, so its chance is one of theirs
-            return out + np.where(open_, np.log2(np.maximum(rest, 1)), 0.0)
-
-        zeros = np.broadcast_to(zero, one.shape)
-        first = chain([one, zeros])
-        second = chain([two, one[up_pair], zeros[up_pair]])
-        third = chain([three, two[up_triple], one[up_pair[up_triple]], zeros[up_pair[up_triple]]])
-        return first, second, third
+    def _chain(tables: list[np.ndarray], share: np.ndarray) -> np.ndarray:
+        """Code lengths in bits. tables: counts of some contexts, a row each, and then of their shorter ones."""
+        out = np.zeros_like(tables[0])
+        open_ = np.ones_like(tables[0], bool)  # symbols whose code is not yet found, the same as those not excluded
+        for t in tables:
+            n, kinds = np.where(open_, t, 0).sum(1, keepdims=True), (open_ & (t > 0)).sum(1, keepdims=True)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                hit, escape = -np.log2(t / (n + kinds)), np.where(n > 0, -np.log2(kinds / (n + kinds)), 0.0)
+            now = open_ & (t > 0)
+            out += np.where(now, np.nan_to_num(hit, posinf=0), np.where(open_, escape, 0.0))
+            open_ &= t == 0
+        rest = np.where(open_, share, 0).sum(1, keepdims=True)
+        # the symbol of the rare bytes stands for one of them, so its chance is one of theirs
+        return out + np.where(open_, np.log2(np.maximum(rest, 1)), 0.0)
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of every text under every language. A long text is taken in parts, each with the three bytes before it."""
@@ -204,7 +210,7 @@ def identified(texts: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]
     turns = blocks(counts, table_bytes)
     results = ["lang_pred", "score", "bits_per_byte"]
     own = [c for c in texts.columns if c.lower() not in results]
-    raw_text, letter = fresh(own, "text"), fresh(own, "letter")
+    letter = fresh(own, "letter")
 
     def answer(batches: list[pa.RecordBatch], trees: list[ContextTrees | None]) -> Iterator[pa.RecordBatch]:
         every = sent.value
@@ -220,20 +226,20 @@ def identified(texts: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]
             else:
                 now = trees[turn]
             for b, w, found in zip(batches, wanted, bits, strict=True):
-                texts_ = b.column(raw_text)
+                texts_ = b.column("text").cast(pa.binary())
                 for some in range(0, len(w), 256):
                     found[some : some + 256, at : at + len(block)] = now.code_lengths([texts_[k].as_py() for k in w[some : some + 256]])
             at += len(block)
             del now
         for b, w, found in zip(batches, wanted, bits, strict=True):
-            size = pc.binary_length(b.column(raw_text)).to_pylist()
+            size = pc.binary_length(b.column("text").cast(pa.binary())).to_pylist()
             lang, chance, each = [UNKNOWN] * len(size), [0.0] * len(size), [None] * len(size)
             best = found.argmin(1) if w else []
             for k, row, x in zip(w, found, best, strict=True):
                 lang[k] = languages[x]
                 chance[k] = float(1 / np.exp2(np.maximum(row[x] - row, -1000)).sum())
                 each[k] = float(row[x] / max(1, size[k]))
-            kept = b.drop_columns([raw_text, letter])
+            kept = b.drop_columns([letter])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lang, pa.string()), pa.array(chance, pa.float64()), pa.array(each, pa.float64())], [*kept.schema.names, *results])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +256,7 @@ def identified(texts: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]
         trees.clear()
         give_back()
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    told = texts.select(*quoted(own), text.cast("binary").alias(raw_text), text.rlike(r"\p{L}").alias(letter))
+    told = texts.select(*quoted(own), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter))
     schema = StructType([*texts.select(*quoted(own)).schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())])
     return told.mapInArrow(score, schema)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import forget, table, written
+from chunkloom.llm._common import forget, give_back, table, written
 from chunkloom.llm._components import components
 from chunkloom.llm._grams import Words, chunked, deal, reduced
 
@@ -150,6 +150,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE
             out["shared"].append(shared.view(np.int64) if len(toks) else None)
             out["parts"].append(np.bincount((own >> np.uint64(64 - PART_BITS)).astype(np.int64), minlength=1 << PART_BITS) if len(toks) else None)
         fields = {"n": pa.int64(), "sig": pa.binary(), "first": pa.int32(), "toks": pa.list_(pa.int64()), "shared": pa.list_(pa.int64()), "parts": pa.list_(pa.int32())}
+        give_back()
         return pa.table({"id": pa.array(ids, pa.int64())} | {c: pa.array(out[c], t) for c, t in fields.items()})
 
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, kind)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import table, written
+from chunkloom.llm._common import give_back, table, written
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked together, about.
@@ -69,18 +69,17 @@ class WordTokens(dict):
 
     USUAL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        added = file.get("added_tokens") or []
-        self.added = [t["content"] for t in added]
-        plain_tokens = all(not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in added)
-        whole = not any(file.get(part) for part in ("truncation", "padding"))
-        self.by_word = file["normalizer"] == _NORMALIZER and file["pre_tokenizer"] == _PRE_TOKENIZER and file["model"]["type"] == "BPE" and plain_tokens and whole
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.added = [t.content for t in added]
+        plain_tokens = all(not (t.normalized or t.lstrip or t.rstrip or t.single_word) and not re.search(r"\s", t.content) for t in added)
+        whole = self.tokenizer.truncation is None and self.tokenizer.padding is None
+        steps = [part and json.loads(part.__getstate__()) for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        self.by_word = steps == [_NORMALIZER, _PRE_TOKENIZER] and type(self.tokenizer.model).__name__ == "BPE" and plain_tokens and whole
         self.tokenize = self.tokenizer.model.tokenize
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -156,7 +155,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, cap
                 [batch.column(0).take(pa.array(of, pa.int32())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
-        words.forget()  # workers live on for other tasks
+        words.forget()
+        give_back()  # workers live on for other tasks
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, f"id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import table
+from chunkloom.llm._common import give_back, table
 from chunkloom.llm._grams import PART_OF_ID, Words, chunked, deal, reduced
 
 WINDOW = 50
@@ -107,6 +107,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out["kept"].append(b" ".join(compress(parts, ~lost) if n else parts))
             out["removed"].append([{"begin": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
         fields = {"id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.binary(), "removed": pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))}
+        give_back()
         return pa.table({c: pa.array(out[c], t) for c, t in fields.items()})
 
     found = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, kind)
