@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.llm import exact_dedup as exact
 from chunkloom.llm import language_id, mixing, ngram_join, packing
-from chunkloom.llm._common import WORD, placed, table, told, unpacked, whole_rows, word_count, written
+from chunkloom.llm._common import WORD, placed, table, told, unpacked, whole_rows, written
 from chunkloom.sources.shipping import ship
 
 #: A document whose language is less probable than this is rejected.
@@ -24,9 +24,10 @@ LEAST_SCORE = 0.5
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; those without letters or with an unsure language go."""
     ship(spark)
-    rows = whole_rows(docs, text=F.col("text"))
-    found = language_id.identified(rows, language_id.learned(docs))
-    return unpacked(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
+    rows = placed(docs)
+    found = language_id.identified(rows.select("file", "at", F.col("row").getField("text").alias("text")), language_id.learned(docs))
+    gone = written(found.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_SCORE)).select("file", "at"), "pipeline-unknown")
+    return unpacked(rows.join(told(gone), ["file", "at"], "left_anti"), docs.columns)
 
 
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +51,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = placed(docs)
     own = F.col("row")
-    text, words = own.getField("text"), word_count(own.getField("text"))
+    text, words = own.getField("text"), F.col("size")
     slim = rows.select(own.getField("doc_id").alias("doc_id"), text.alias("text"), own.getField("source").alias("source"), "file", "at")
-    taken = mixing.mixed(slim, keep=("file", "at")).select("file", "at", "taken")
+    taken = mixing.mixed(slim, keep=("file", "at")).select("file", "at", "size", "taken")
     # one row for each time round: how many of its words it takes
     rounds = F.when(F.col("taken") > words, F.array(words, F.col("taken") - words)).otherwise(F.array(F.col("taken")))
-    each = rows.join(taken, ["file", "at"]).select("row", words.alias("words"), F.explode(rounds).alias("take")).where("take > 0 or words = 0")
+    each = rows.join(taken, ["file", "at"]).select("row", "size", F.explode(rounds).alias("take")).where("take > 0 or size = 0")
     part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("take").cast("int")), " ")
-    now = F.when(F.col("take") >= F.col("words"), text).otherwise(part)
+    now = F.when(F.col("take") >= words, text).otherwise(part)
     new = {"text": now, "n_chars": F.length(now).cast("long")}
     return each.select(*[new.get(name, own.getField(name)).alias(name) for name in docs.columns])
 
