@@ -1,4 +1,4 @@
-"""Sends this library to the executors of a session that can't import it themselves."""
+"""Sends this library to the executors of a session that can't import it themselves, and bounds what goes to Python at once."""
 
 from __future__ import annotations
 
@@ -9,10 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+#: Bytes of rows that go to a Python worker at once, where the session leaves Spark's own bound.
+BATCH_BYTES = 4 << 20
+_BOUND, _SPARKS = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the library's sources to the session's Python files, once for each application."""
+    """Adds the library's sources to the session's Python files, once for each application, and sets the bound of batches."""
+    if spark.conf.get(_BOUND, _SPARKS) == _SPARKS:
+        spark.conf.set(_BOUND, f"{BATCH_BYTES}b")
     app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parents[1]
     if app in _sent or not root.is_dir():
         return
