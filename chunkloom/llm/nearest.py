@@ -9,9 +9,10 @@ what the query has in common with the codewords), and the best are ranked again
 the exact cosine of the original vectors.
 
 How many cells a query visits is measured, not guessed: against brute force over the
-sample, so many that ``RECALL`` of the true neighbours lie in them. The inverted file
-is dealt into shards by a hash of the entry, each with its part of every cell's list,
-so a cell that many vectors fall into makes no large shard.
+sample, so many that ``RECALL`` of the true neighbours lie in them. A query goes only to
+the lists of these cells. A cell that many vectors fall into has several lists, dealt by
+a hash of the entry, so no list is large. A list answers a query with its best entries in
+one row, fewer from the lists of farther cells.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ MOST_CELLS = 4096
 #: Share of true neighbours, on the sample, whose cells a query must visit.
 RECALL = 0.97
 #: Entries that a query ranks exactly.
-RERANKED = 300
-#: Entries of a shard, about.
-SHARD = 2500
+RERANKED = 150
+#: Entries of a list, about, at most.
+LIST = 20_000
 _PARTS = 16
 
 
@@ -115,8 +116,9 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "v
 
     Candidates are all rows but the query's own. Vectors that are null or zero, hold a
     null or non-finite component, or have another length than most take no part. Ids
-    must not be null (such rows take no part); a repeated id with one vector is one row.
-    Ties go to the smaller id. With k candidates or fewer, all are found.
+    must be integers and not null (such rows take no part); a repeated id with one vector
+    is one row. Ties go to the smaller id. With k candidates or fewer, all are found. Other
+    columns are not read; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec")).where(F.col("id").isNotNull() & _valid(F.col("vec")))
@@ -142,7 +144,6 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "v
     quantiser = Quantiser(fitted, cells)
     probes = quantiser.probes(fitted, k, recall)
     sent = spark.sparkContext.broadcast(quantiser)
-    shards = max(1, math.ceil(total / SHARD))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,44 +154,72 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "v
     index = written(entries.select("entry", "vec").mapInArrow(encode, "entry long, cell int, code binary"), "nearest-index")
     sizes = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # a row for each cell
     count = np.array([sizes.get(c, 0) for c in range(len(quantiser.cells))])
-    # of the entries that are ranked exactly a shard holds an even part by its hash; it sends three times that and some more
-    part = min(reranked, math.ceil(3 * reranked / shards) + k + 5)
+    lists = np.maximum(1, -(-count // LIST))
+    first = np.cumsum(lists) - lists
+    sent_lists = spark.sparkContext.broadcast((count, first, lists))
 
+    @F.arrow_udf("int")
+    def list_of(cell: pa.Array, spread: pa.Array) -> pa.Array:
+        _, first, lists = sent_lists.value
+        cell = cell.to_numpy(zero_copy_only=False)
+        return pa.array((first[cell] + spread.to_numpy(zero_copy_only=False) % lists[cell]).astype(np.int32))
+
+    held = index.withColumn("list", list_of("cell", F.pmod(F.xxhash64("entry", F.lit(1)), F.lit(1 << 30))))
     asked = rows.where(queries).select("id", "vec").distinct()
     asked = written(asked.join(entries.select("entry", "vec"), "vec").select("id", "entry"), "nearest-asked")
     wanted = asked.select("entry").distinct()
-    every = F.sequence(F.lit(0), F.lit(shards - 1))
-    asks = entries.select("entry", "vec").join(wanted, "entry", "left_semi").select(F.col("entry").alias("query"), F.explode(every).alias("shard"), "vec")
-    lists = index.withColumn("shard", F.pmod(F.xxhash64("entry", F.lit(1)), F.lit(shards)).cast("int"))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each list that a query goes to, with the cell's rank among the query's."""
+        q, (count, first, lists) = sent.value, sent_lists.value
+        for batch in batches:
+            row, where, rank = [], [], []
+            for i, unit in enumerate(_unit(_matrix(batch.column(1), dim)) if batch.num_rows else ()):
+                order = np.argsort(((q.cells - unit) ** 2).sum(1), kind="stable")
+                # cells are visited until they hold some entries more than are asked for
+                enough = int(np.searchsorted(np.cumsum(count[order]), 4 * (k + 1))) + 1
+                seen = order[: max(probes, enough)]
+                place = np.flatnonzero(count[seen])
+                seen = seen[place]
+                row.append(np.full(lists[seen].sum(), i))
+                where.append(np.concatenate([np.arange(first[c], first[c] + lists[c]) for c in seen]) if len(seen) else np.zeros(0, int))
+                rank.append(np.repeat(place, lists[seen]))
+            row, where, rank = (np.concatenate([*x, np.zeros(0, int)]).astype(np.int32) for x in (row, where, rank))
+            for at in range(0, len(row), 4096):
+                some = slice(at, at + 4096)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[some])) for c in (0, 1)), pa.array(where[some]), pa.array(rank[some])], ["query", "vec", "list", "rank"])
+
+    kind = entries.schema["vec"].dataType.simpleString()
+    asks = entries.select("entry", "vec").join(wanted, "entry", "left_semi").mapInArrow(visit, f"query long, vec {kind}, list int, rank int")
 
     def search(held: pa.Table, asks: pa.Table) -> pa.Table:
-        out: tuple[list, ...] = ([], [], [])
+        out: tuple[list, list, list] = ([], [], [])
         if held.num_rows and asks.num_rows:
             q = sent.value
             held = held.sort_by([("entry", "ascending")])
-            names, cell = held["entry"].to_numpy(), held["cell"].to_numpy()
+            names, cell = held["entry"].to_numpy(), int(held["cell"][0].as_py())
             codes = np.frombuffer(b"".join(held["code"].to_pylist()), np.uint8).reshape(len(names), -1)
-            fixed = q.constant(cell, codes)
-            for query, unit in zip(asks["query"].to_pylist(), _unit(_matrix(asks["vec"], dim)), strict=True):
-                away = ((q.cells - unit) ** 2).sum(1)
-                order = np.argsort(away, kind="stable")
-                # cells are visited until they hold some entries more than are asked for
-                enough = int(np.searchsorted(np.cumsum(count[order]), 4 * (k + 1))) + 1
-                visited = np.zeros(len(count), bool)
-                visited[order[: max(probes, enough)]] = True
-                own = np.flatnonzero(visited[cell])
-                far = away[cell[own]] + fixed[own]
+            fixed = q.constant(np.full(len(names), cell), codes)
+            for query, rank, unit in zip(asks["query"].to_pylist(), asks["rank"].to_pylist(), _unit(_matrix(asks["vec"], dim)), strict=True):
+                far = ((q.cells[cell] - unit) ** 2).sum() + fixed
                 for m, (p, book) in enumerate(zip(q.parts, q.books, strict=True)):
-                    far -= 2 * (book @ unit[p])[codes[own, m]]
+                    far -= 2 * (book @ unit[p])[codes[:, m]]
+                part = min(reranked, 2 * (k + 1) + 2 * reranked // (1 + rank))
                 best = np.argsort(far, kind="stable")[:part]
-                out[0].append(np.full(len(best), query))
-                out[1].append(names[own[best]])
-                out[2].append(far[best])
-        arrays = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.table({"query": pa.array(arrays[0].astype(np.int64)), "entry": pa.array(arrays[1].astype(np.int64)), "far": pa.array(arrays[2].astype(np.float64))})
-
-    found = lists.groupBy("shard").cogroup(asks.groupBy("shard")).applyInArrow(search, "query long, entry long, far double")
-    near = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("far", "entry"))).where(F.col("r") <= reranked).select("query", "entry")
+                out[0].append(query)
+                out[1].append(names[best])
+                out[2].append(far[best].astype(np.float32))
+        return pa.table({"query": pa.array(out[0], pa.int64()), "entries": pa.array(out[1], pa.list_(pa.int64())), "far": pa.array(out[2], pa.list_(pa.float32()))})
+
+    found = held.groupBy("list").cogroup(asks.groupBy("list")).applyInArrow(search, "query long, entries array<long>, far array<float>")
+
+    def choose(answers: pa.Table) -> pa.Table:
+        """The best entries of all lists that a query went to."""
+        names, far = (answers[c].combine_chunks().flatten().to_numpy() for c in ("entries", "far"))
+        best = np.lexsort((names, far))[:reranked]
+        return pa.table({"query": pa.array(np.full(len(best), answers["query"][0].as_py())), "entry": pa.array(names[best])})
+
+    near = found.groupBy("query").applyInArrow(choose, "query long, entry long")
     near = near.unionByName(wanted.select(F.col("entry").alias("query"), "entry")).distinct()
     pairs = near.join(entries.select("entry", "ids", F.col("vec").alias("c_vec")), "entry").join(entries.select(F.col("entry").alias("query"), F.col("vec").alias("q_vec")), "query")
 
