@@ -93,13 +93,13 @@ _EDGE = "CASE o_custkey % 3 WHEN 0 THEN 9223372036854775807 WHEN 1 THEN -9223372
 
 @query(
     f"""WITH {_OD}, x AS (SELECT row_idx, batch_id, ({_EDGE})::HUGEINT AS v FROM od),
-    d AS (SELECT row_idx, v - coalesce(lag(v) OVER (PARTITION BY batch_id ORDER BY row_idx), 0) AS d FROM x)
-    SELECT row_idx, (CASE WHEN d > 9223372036854775807 THEN d - 18446744073709551616 WHEN d < -9223372036854775808 THEN d + 18446744073709551616 ELSE d END)::BIGINT AS d FROM d"""
+    d AS (SELECT row_idx, v, v - coalesce(lag(v) OVER (PARTITION BY batch_id ORDER BY row_idx), 0) AS d FROM x)
+    SELECT row_idx, (CASE WHEN d > 9223372036854775807 THEN d - 18446744073709551616 WHEN d < -9223372036854775808 THEN d + 18446744073709551616 ELSE d END)::BIGINT AS d, v::BIGINT AS x FROM d"""
 )
 def delta_wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deltas between the ends of the range of 64-bit integers."""
+    """Deltas between the ends of the range of 64-bit integers, and the values again from them."""
     edge = F.expr("CASE o_custkey % 3 WHEN 0 THEN 9223372036854775807L WHEN 1 THEN (-9223372036854775807L - 1L) ELSE o_custkey END")
-    return enc.delta(_orders(spark, sf_dir).withColumn("v", edge), "v").select("row_idx", "d")
+    return enc.undelta(enc.delta(_orders(spark, sf_dir).withColumn("v", edge), "v"), "d").select("row_idx", "d", "x")
 
 
 @query(f"WITH {_EV}, b AS (SELECT *, value::BIT::BIGINT AS v FROM ev) SELECT row_idx, xor(v, coalesce(lag(v) OVER (PARTITION BY batch_id ORDER BY row_idx), 0)) AS d FROM b")
@@ -545,8 +545,13 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("at", F.timestamp_micros(F.expr(_MICROS)))
 
 
-def _shown(stream: DataFrame, mode: str = "append") -> DataFrame:
-    return flows.finished(stream, f"stream_{uuid.uuid4().hex}", mode)
+def _shown(stream: DataFrame) -> DataFrame:
+    return flows.finished(stream, f"{scratch_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}")
+
+
+def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events and a last row long after them, which closes their windows."""
+    return flows.closing(_stream(spark, sf_dir), f"{scratch_dir(spark)}/closing-{uuid.uuid4().hex}", "at", "2200-01-01 00:00:00")
 
 
 _VARINT = "greatest(1, ceil(length(CASE WHEN event_id = 0 THEN '0' ELSE ltrim(bin(event_id), '0') END) / 7.0))"
@@ -554,13 +559,13 @@ _VARINT = "greatest(1, ceil(length(CASE WHEN event_id = 0 THEN '0' ELSE ltrim(bi
 
 @query(f"SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, count(*) AS rows, sum({_VARINT})::BIGINT AS varint_bytes, max(user_id) AS largest_key FROM events GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _shown(flows.windowed_sizes(_stream(spark, sf_dir), "at", "user_id", "event_id"), "complete")
+    found = _shown(flows.windowed_sizes(_closed(spark, sf_dir), "at", "user_id", "event_id"))
     return found.select(F.unix_micros("window_start").alias("window_us"), "rows", "varint_bytes", "largest_key")
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(m)) AS window_us, count(*) AS rows FROM events, unnest([0, 30]) AS t(m) GROUP BY ALL")
 def stream_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _shown(flows.windowed_sizes(_stream(spark, sf_dir), "at", "user_id", "event_id", slide="30 minutes"), "complete")
+    found = _shown(flows.windowed_sizes(_closed(spark, sf_dir), "at", "user_id", "event_id", slide="30 minutes"))
     return found.select(F.unix_micros("window_start").alias("window_us"), "rows")
 
 
@@ -569,15 +574,19 @@ def stream_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM m) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS rows FROM s GROUP BY user_id, k"""
 )
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _shown(flows.sessions(_stream(spark, sf_dir), "at", "user_id"), "complete")
+    found = _shown(flows.sessions(_closed(spark, sf_dir), "at", "user_id"))
     return found.select("user_id", F.unix_micros("session_start").alias("start_us"), "rows")
 
 
-@query()
+@query(
+    """WITH n AS (SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS key_events FROM events GROUP BY ALL)
+    SELECT user_id, s::BIGINT AS segment, least(20, n - 20 * s)::BIGINT AS n_rows, key_events FROM n, unnest(range(0, (n + 19) // 20)) AS t(s)"""
+)
 def stream_key_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full segments of 20 rows of each key, from state kept by key."""
-    found = _shown(flows.key_segments(_stream(spark, sf_dir), "user_id", ["event_id", "value"], 20))
-    return found.select("user_id", "segment", "n_rows", F.array_min("event_id").alias("first_event"))
+    """Segments of 20 rows of each key from state kept by key, the rest when the stream ends; key_events adds up the ids of all segments of a key."""
+    found = _shown(flows.key_segments(_closed(spark, sf_dir), "user_id", ["event_id", "value"], 20, time="at"))
+    own = F.aggregate("event_id", F.lit(0).cast("long"), lambda s, x: s + x)
+    return found.select("user_id", "segment", "n_rows", F.sum(own).over(Window.partitionBy("user_id")).alias("key_events"))
 
 
 @query(_STORED)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,13 @@ def wrapped_minus(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_subtract(a, b), turned.cast("long"))
 
 
+def wrapped_sum(x: Column, window: WindowSpec) -> Column:
+    """The sum of a 64-bit column over a window in two's complement: of its halves, which can't overflow within 2 ** 31 rows."""
+    low = F.sum(x.cast("long").bitwiseAND(0xFFFFFFFF)).over(window)
+    high = F.sum(F.shiftright(x.cast("long"), 32)).over(window) + F.shiftright(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(0xFFFFFFFF))
+
+
 def zigzag(x: Column) -> Column:
     """0, -1, 1, -2 ... as 0, 1, 2, 3 ... (long)."""
     return F.shiftleft(x, 1).bitwiseXOR(F.shiftright(x, 63))

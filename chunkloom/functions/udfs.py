@@ -46,12 +46,13 @@ def decode_chunk(element: str) -> Callable:
 
 
 def peek_chunk() -> Callable:
-    """A function of chunks of bytes: their sizes, type and streams, without decoding any data."""
+    """A function of chunks of bytes: their sizes, type and streams, without decoding any data; all null for a null."""
     names = ("header_size", "data_size", "total_size", "rows", "type")
 
     @F.pandas_udf("header_size long, data_size long, total_size long, rows long, type string, streams string")
     def peek(raw: pd.Series) -> pd.DataFrame:
-        seen = [chunk.peek(bytes(x)) for x in raw]
-        return pd.DataFrame([{**{n: s[n] for n in names}, "streams": ",".join(s["streams"])} for s in seen], columns=[*names, "streams"])
+        seen = [None if x is None else chunk.peek(bytes(x)) for x in raw]
+        rows = [dict.fromkeys((*names, "streams")) if s is None else {**{n: s[n] for n in names}, "streams": ",".join(s["streams"])} for s in seen]
+        return pd.DataFrame(rows, columns=[*names, "streams"]).astype(dict.fromkeys(names[:-1], "Int64"))
 
     return peek

@@ -20,10 +20,10 @@ def delta(df: DataFrame, value: str, order: int = 1, out: str = "d") -> DataFram
 
 
 def undelta(df: DataFrame, d: str, order: int = 1, out: str = "x") -> DataFrame:
-    """The inverse: running sums of every order-th row."""
+    """The inverse: running sums of every order-th row, in two's complement."""
     lane = Window.partitionBy("batch_id", F.col("row_in_batch") % order).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
     first = F.min("row_idx").over(Window.partitionBy("batch_id"))
-    return df.withColumn("row_in_batch", F.col("row_idx") - first).withColumn(out, F.sum(d).over(lane)).drop("row_in_batch")
+    return df.withColumn("row_in_batch", F.col("row_idx") - first).withColumn(out, bits.wrapped_sum(F.col(d), lane)).drop("row_in_batch")
 
 
 def xor_delta(df: DataFrame, value: str, out: str = "d") -> DataFrame:

@@ -125,7 +125,9 @@ class ChunkWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict[str, str], schema: T.StructType, overwrite: bool):
         self.path, self.schema_, self.overwrite = options["path"], schema, overwrite
-        given = {k: v for k, v in options.items() if k in _OPTIONS}
+        if unknown := {k.lower() for k in options} - _OPTIONS - {"path"}:
+            raise InvalidOption(f"no such option: {', '.join(sorted(unknown))}")
+        given = {k.lower(): v for k, v in options.items() if k.lower() in _OPTIONS}
         for name in ("chunk_size_rows", "partition_flush_rows"):
             if name in given:
                 if not str(given[name]).isdigit():

@@ -9,16 +9,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chunkloom.errors import InvalidOption
+
 _own: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: in the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine tests) a temporary folder is made.
+    Only where that is unset and the master is local (tests) a temporary folder is made; on
+    a cluster no other machine could read it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise InvalidOption("spark.checkpoint.dir must name a folder that the whole cluster shares")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="chunkloom-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

@@ -32,36 +32,55 @@ def sessions(stream: DataFrame, time: str, key: str, gap: str = "30 minutes", la
     return out.select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "rows")
 
 
-def key_segments(stream: DataFrame, key: str, columns: list[str], flush_rows: int) -> DataFrame:
-    """Full segments of flush_rows rows of each key, in order of arrival: key, segment, rows (arrays of columns).
+def key_segments(stream: DataFrame, key: str, columns: list[str], flush_rows: int, time: str | None = None, late: str = "10 minutes", idle: str = "1 hour") -> DataFrame:
+    """Segments of flush_rows rows of each key, in order of arrival: key, segment, n_rows, and arrays of the other columns.
 
-    What a key has beyond its last full segment stays in the state until more arrives;
-    the state of a key is less than flush_rows rows.
+    What a key has beyond its last full segment stays in the state, which is less than
+    flush_rows rows. With a column ``time`` it is flushed as a shorter segment once the
+    watermark (``late`` behind the newest row) has passed the key's last row by ``idle``;
+    without one it stays until more arrives.
     """
     fields = [stream.schema[c] for c in columns]
     out = T.StructType([stream.schema[key], T.StructField("segment", T.LongType()), T.StructField("n_rows", T.LongType())] + [T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields if f.name != key])
-    state = T.StructType([T.StructField("segment", T.LongType())] + [T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields if f.name != key])
+    state = T.StructType([T.StructField("segment", T.LongType()), T.StructField("last_ms", T.LongType())] + [T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields if f.name != key])
     kept = [c for c in columns if c != key]
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    when = F.unix_millis(F.col(time)) if time else F.lit(0).cast("long")
 
     def flush(keys: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        segment, *lists = held.get if held.exists else (0, *([] for _ in kept))
+        segment, last, *lists = held.get if held.exists else (0, 0, *([] for _ in kept))
         rows = [list(x) for x in lists]
         found: dict[str, list] = {f.name: [] for f in out.fields}
-        for batch in batches:
+
+        def cut(n: int) -> None:
+            nonlocal segment
+            found[key].append(keys[0])
+            found["segment"].append(segment)
+            found["n_rows"].append(n)
             for at, c in enumerate(kept):
-                rows[at] += batch[c].tolist()
-            while rows and len(rows[0]) >= flush_rows:
-                found[key].append(keys[0])
-                found["segment"].append(segment)
-                found["n_rows"].append(flush_rows)
+                found[c].append(rows[at][:n])
+                rows[at] = rows[at][n:]
+            segment += 1
+
+        if held.hasTimedOut:
+            if rows and rows[0]:
+                cut(len(rows[0]))
+            held.update((segment, last, *rows))
+        else:
+            for batch in batches:
+                last = max(last, int(batch["_when"].max()))
                 for at, c in enumerate(kept):
-                    found[c].append(rows[at][:flush_rows])
-                    rows[at] = rows[at][flush_rows:]
-                segment += 1
-        held.update((segment, *rows))
+                    rows[at] += batch[c].tolist()
+                while rows and len(rows[0]) >= flush_rows:
+                    cut(flush_rows)
+            held.update((segment, last, *rows))
+            if time:
+                held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + wait)
         yield pd.DataFrame(found)
 
-    return stream.select(key, *kept).groupBy(key).applyInPandasWithState(flush, out, state, "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withWatermark(time, late) if time else stream
+    rows = timed.select(key, *dict.fromkeys([*kept, *([time] if time else [])]), when.alias("_when"))
+    return rows.groupBy(key).applyInPandasWithState(flush, out, state, "append", GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout)
 
 
 def chunk_sink(path: str, order_by: list[str], **options: object) -> Callable[[DataFrame, int], None]:
@@ -86,9 +105,19 @@ def chunk_sink(path: str, order_by: list[str], **options: object) -> Callable[[D
     return store
 
 
-def finished(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there now, and returns the result as a table in memory (for tests and small results)."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def closing(stream: DataFrame, path: str, time: str, at: str) -> DataFrame:
+    """The stream and one row, null but for its time, which moves the watermark past all others once what is there now is read.
+
+    For tables that are read as one batch of a stream and then end.
+    """
+    spark = stream.sparkSession
+    fields = [F.to_timestamp(F.lit(at)).cast(f.dataType).alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+    spark.range(1).select(*fields).write.mode("overwrite").parquet(path)
+    return stream.unionByName(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
+
+
+def finished(stream: DataFrame, path: str) -> DataFrame:
+    """Runs a stream over all that is there now, and returns what it appends as a table under path."""
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True)
+    writer.start(f"{path}/rows").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

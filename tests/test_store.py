@@ -116,6 +116,8 @@ def test_data_source(spark, rows, tmp_path):
         equal(spark.read.format("chunkloom").options(path=path, columns="v, id").load(), rows.select("v", "id"))
         equal(store.read_store(spark, path), rows)
     rows.write.format("chunkloom").options(path=f"{tmp_path}/0", chunk_size_rows=40, strategy="none").mode("append").save()
+    with pytest.raises(Exception, match="no such option: chunk_rows"):
+        rows.write.format("chunkloom").options(path=f"{tmp_path}/9", chunk_rows=40).mode("append").save()
     assert spark.read.format("chunkloom").option("path", f"{tmp_path}/0").load().count() == 1000
 
 
@@ -178,3 +180,15 @@ def test_sink_replaces_an_epoch(spark, rows, tmp_path):
     sink(rows.where("id >= 300"), 1)
     store.write_description(spark, f"{tmp_path}/s", rows.schema, store.Options())
     equal(store.read_store(spark, f"{tmp_path}/s"), rows)
+
+
+def test_late_rows_and_the_rest_of_a_key(spark, tmp_path):
+    """Append mode over four batches: a late row is dropped, a key's rest is flushed when the watermark passes it."""
+    kind = "user int, at timestamp, x int"
+    for k, rows in enumerate([[(1, "2024-01-01 00:00:00", 1), (1, "2024-01-01 00:01:00", 2), (1, "2024-01-01 00:02:00", 3), (2, "2024-01-01 00:03:00", 4)], [(3, "2024-01-01 05:00:00", 5)], [(3, "2024-01-01 05:01:00", 8)], [(2, "2024-01-01 00:04:00", 6), (4, "2024-01-01 09:00:00", 7)]]):
+        spark.createDataFrame(rows, "user int, at string, x int").selectExpr("user", "timestamp(at) AS at", "x").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    segments = flows.finished(flows.key_segments(stream, "user", ["x"], 2, time="at"), f"{tmp_path}/segments")
+    assert sorted((r["user"], r["segment"], r["n_rows"], r["x"]) for r in segments.collect()) == [(1, 0, 2, [1, 2]), (1, 1, 1, [3]), (2, 0, 1, [4]), (3, 0, 2, [5, 8])]
+    windows = flows.finished(flows.windowed_sizes(stream, "at", "user", "x"), f"{tmp_path}/windows")
+    assert sorted(r["rows"] for r in windows.collect()) == [2, 4]

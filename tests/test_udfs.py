@@ -14,5 +14,7 @@ def test_arrays_as_chunks(spark):
     assert back == {1: [5, 6, None, 8], 2: [], 3: None, 4: [7] * 100}
     seen = coded.where("c is not null").select("id", peek_chunk()("c").alias("p"), F.length("c").alias("n")).collect()
     assert all(r["p"]["total_size"] == r["n"] for r in seen)
+    nothing = coded.where("c is null").select(peek_chunk()("c").alias("p")).collect()
+    assert len(nothing) == 1 and (nothing[0]["p"] is None or set(nothing[0]["p"].asDict().values()) == {None})
     with pytest.raises(InvalidOption):
         encode_chunk("string")
