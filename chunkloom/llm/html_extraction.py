@@ -12,21 +12,25 @@ adverts by class or role, everything outside the article where the page marks on
 has no importance to begin with.
 
 Pages are parsed twice in the order in which they are read; only hashes of pages and
-counts of paths and of hashed texts are shuffled, added up before the shuffle.
+counts of paths and of hashed texts are shuffled, added up before the shuffle. A path is
+known by a hash that grows with each element, so depth costs nothing, and parsing takes
+time in proportion to the page, whatever is left open or unclosed in it.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from chunkloom.llm._common import table, written
+from chunkloom.llm._common import fresh, quoted, table, written
 
 #: A path is low below this importance, if so many pages of the host have it, or half of them and at least two.
 LEAST_IMPORTANCE = 0.1
@@ -35,12 +39,14 @@ LEAST_PAGES = 20
 RETURNS = 0.01
 #: Pages with copies whose numbers are broadcast; more are joined.
 COPIES_MOST = 1_000_000
+#: Texts of low paths that every task is told, at most; more are joined to the pages of their host.
+LOW_MOST = 200_000
 _DAMP = 0.9
 
-_MARKUP = re.compile(
-    r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>""",
-    re.S,
-)
+_MARKUP = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)|<[!?/][^>]*>""", re.S)
+#: What stands in a tag behind its name, where quotes hold together; looked for in so many characters.
+_REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+_REST_CHARS = 8192
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -87,13 +93,17 @@ def _declared(tag: str, attrs: dict[str, str], inside: bool) -> bool:
 
 
 class Page:
-    """blocks: (path, text, in the article, declared as none); styles: element path -> its child sequences."""
+    """blocks: (path, text, in the article, declared as none); styles: element path -> its child sequences, hashed.
+
+    Paths are hashes, see ``path_id``.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, bool, bool]] = []
-        self.styles: dict[str, set[str]] = {}
+        self.blocks: list[tuple[int, str, bool, bool]] = []
+        self.styles: dict[int, set[int]] = {}
         self.marked = False
-        self._stack: list[tuple[str, str, bool, bool, list[str]]] = []  # tag, path, in the article, declared as none, children
+        self._stack: list[tuple[str, int, bool, bool, list]] = []  # tag, path, in the article, declared as none, last child and hash of all
+        self._open_tags: Counter[str] = Counter()
         self._run: list[str] = []
         self._parse(source)
 
@@ -102,14 +112,17 @@ class Page:
             text = " ".join("".join(self._run).split())
             self._run = []
             if text:
-                _, path, inside, none, _ = self._stack[-1] if self._stack else ("", "", False, False, [])
+                _, path, inside, none, _ = self._stack[-1] if self._stack else ("", 0, False, False, [])
                 self.blocks.append((path, text, inside, none))
 
     def _pop(self) -> None:
-        _, path, _, _, children = self._stack.pop()
-        self.styles.setdefault(path, set()).add(" ".join(children))
+        tag, path, _, _, children = self._stack.pop()
+        self._open_tags[tag] -= 1
+        self.styles.setdefault(path, set()).add(children[1])
 
     def _pop_to(self, tags: tuple[str, ...], stop: tuple[str, ...] = ()) -> None:
+        if not any(self._open_tags[t] for t in tags):
+            return
         for k in range(len(self._stack) - 1, -1, -1):
             if self._stack[k][0] in tags:
                 while len(self._stack) > k:
@@ -120,45 +133,58 @@ class Page:
 
     def _open(self, tag: str, raw: str, block: bool) -> None:
         attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw.strip("/ \n\t\r\f") else {}
-        _, above, inside, none, children = self._stack[-1] if self._stack else ("", "", False, False, [])
+        _, above, inside, none, children = self._stack[-1] if self._stack else ("", 0, False, False, ["", 0])
         declared = _declared(tag, attrs, inside)
         if not block and not declared:
             return
         names = sorted(n for n in attrs.get("class", "").lower().split() if not any(c.isdigit() for c in n))
         name = ".".join([tag, *names])
-        if not children or children[-1] != name:
-            children.append(name)
+        if children[0] != name:
+            children[:] = name, path_id((name,), children[1])
         article = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
         none = none or declared
         if article and not none:
             self.marked = inside = True
-        self._stack.append((tag, f"{above}/{name}", inside, none, []))
+        self._stack.append((tag, path_id((name,), above), inside, none, ["", 0]))
+        self._open_tags[tag] += 1
 
     def _parse(self, source: str) -> None:
-        at, n = 0, len(source)
+        at, n, begin = 0, len(source), 0
+        last = source.rfind(">")
         while at < n:
-            m = _MARKUP.search(source, at)
-            text = source[at : m.start() if m else n]
-            if text:
+            m = _MARKUP.search(source, at) if at <= last else None
+            if m and m.start() > last and not m[0].startswith("<!--"):
+                m = None  # no tag ends behind here
+            end = rest = -1
+            if m and m["tag"]:
+                # to the first > outside quotes, or where quotes don't hold together to the first > of all
+                behind = _REST.match(source, m.end(), min(n, m.end() + _REST_CHARS))
+                end = behind.end() if behind else source.find(">", m.end()) + 1
+                rest = m.end()
+            elif m:
+                end = m.end()
+            begin = m.start() if m else n
+            if begin > at:
+                text = source[at:begin]
                 self._run.append(entities.unescape(text) if "&" in text else text)
             if not m:
                 break
-            at = m.end()
-            tag = m["tag"] or m["tag2"]
+            at = end
+            tag = m["tag"]
             if not tag:
                 continue
             tag = tag.lower()
             block = tag in _BLOCK
             if block:
                 self._flush()
-            if m["end"] or m["end2"]:
+            if m["end"]:
                 if block:
                     self._pop_to((tag,))
-                elif any(s[0] == tag for s in self._stack):
+                elif self._open_tags[tag]:
                     self._flush()
                     self._pop_to((tag,))
                 continue
-            attrs = m["attrs"] or m["attrs2"] or ""
+            attrs = source[rest : end - 1]
             if tag in _RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 at = end.end() if end else n
@@ -177,7 +203,7 @@ class Page:
                 run, self._run = self._run, []
                 self._open(tag, attrs, block)
                 if len(self._stack) > depth:  # an inline element that is no part of the article ends the text before it
-                    held = self._stack.pop()
+                    held = self._stack.pop()  # for a moment only
                     self._run = run
                     self._flush()
                     self._stack.append(held)
@@ -196,8 +222,15 @@ class Page:
         return "\n".join(kept or [t for _, t in main])
 
 
-def _hash(path: str, text: str) -> int:
-    return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 1
+def path_id(names: tuple[str, ...], above: int = 0) -> int:
+    """The hash of the path of elements ``names`` (tags with their classes) below a path; also of a sequence of children."""
+    for name in names:
+        above = xxhash.xxh64_intdigest(name, seed=above) >> 1
+    return above
+
+
+def _hash(path: int, text: str) -> int:
+    return xxhash.xxh64_intdigest(text, seed=path) >> 1
 
 
 def _host(url_col: str):  # noqa: ANN202
@@ -209,16 +242,16 @@ def _counts(pages: DataFrame, url_col: str, html_col: str) -> tuple[DataFrame, D
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: dict[tuple[str, str, int, int], float] = {}
+            total: dict[tuple[str, int, int, int], float] = {}
             for host, source, share in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page = Page(source)
                 seen = {(path, 1, _hash(path, text)) for path, text, _, _ in page.blocks}
-                seen |= {(path, 2, xxhash.xxh64_intdigest(s) >> 1) for path, styles in page.styles.items() for s in styles}
+                seen |= {(path, 2, s) for path, styles in page.styles.items() for s in styles}
                 seen |= {(path, 0, 0) for path in {p for p, _, _ in seen}}
                 for key in seen:
                     total[host, *key] = total.get((host, *key), 0.0) + share
             keys = list(zip(*total, strict=True)) if total else [[]] * 4
-            types = (pa.string(), pa.string(), pa.int32(), pa.int64())
+            types = (pa.string(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([*(pa.array(k, t) for k, t in zip(keys, types, strict=True)), pa.array(list(total.values()), pa.float64())], ["host", "path", "kind", "what", "n"])
 
     read = pages.select(_host(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
@@ -227,12 +260,12 @@ def _counts(pages: DataFrame, url_col: str, html_col: str) -> tuple[DataFrame, D
     many = written(copies.where("copies > 1").select("page", "copies"), "style-many")
     told = read.withColumn("page", page).join(F.broadcast(many) if many.count() <= COPIES_MOST else many, "page", "left")
     told = told.select("host", "html", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
-    counted = told.mapInArrow(count, "host string, path string, kind int, what long, n double").groupBy("host", "path", "kind", "what").agg(F.round(F.sum("n")).alias("n"))
+    counted = told.mapInArrow(count, "host string, path long, kind int, what long, n double").groupBy("host", "path", "kind", "what").agg(F.round(F.sum("n")).alias("n"))
     return written(counted, "style-counts"), copies.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Nodes of all hosts' style trees that bear text: ``host, path, pages, presentation, content, importance``."""
+    """Nodes of all hosts' style trees that bear text: ``host, path, pages, presentation, content, importance``; paths as ``path_id``s."""
     return _nodes(_counts(pages, url_col, html_col)[0])
 
 
@@ -261,28 +294,41 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", le
     """pages plus ``main_text``: the article of each page, its blocks joined by line feeds.
 
     Null and empty pages give an empty text; a null url is a host of its own. A page
-    never loses all of it to the tree. Other columns pass unchanged.
+    never loses all of it to the tree. Repeated rows are answered each; an empty table
+    gives an empty result; a very long page is parsed whole, by one task. Other columns
+    pass unchanged, but one named main_text gives way to the result.
     """
     counted, hosts = _counts(pages, url_col, html_col)
     enough = F.least(F.lit(least_pages), F.greatest(F.lit(2), F.ceil(F.col("host_pages") / 2)))
     low = _nodes(counted).where((F.col("importance") < least) & (F.col("pages") > 1)).join(hosts, "host").where(F.col("pages") >= enough)
     texts = counted.where("kind = 1 and n > 1").join(low.select("host", "path", "pages"), ["host", "path"]).where(F.col("n") >= RETURNS * F.col("pages"))
-    low = written(texts.groupBy("host").agg(F.collect_set("what").alias("_low"), (8 * F.count(F.lit(1))).alias("_bytes")), "style-low")
-    size = low.agg(F.sum("_bytes")).first()[0] or 0
-    low = low.select(F.col("host").alias("_host"), "_low")
-    joined = pages.withColumn("_host", _host(url_col)).join(F.broadcast(low) if size < 4 << 20 else low, "_host", "left")
-    own = [c for c in pages.columns if c != "main_text"]
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    low = written(texts.select("host", "what").distinct(), "style-low")
+    own = [c for c in pages.columns if c.lower() != "main_text"]
+    source, host, gone = (fresh(own, n) for n in ("html_", "host_", "low_"))
+    few = low.count() <= LOW_MOST
+    rows = pages.select(*quoted(own), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias(source), _host(url_col).alias(host))
+    told: dict[str, frozenset[int]] = {}
+    if few:  # so few that every task may know them
+        by: dict[str, set[int]] = {}
+        for r in low.collect():
+            by.setdefault(r["host"], set()).add(r["what"])
+        told = {h: frozenset(x) for h, x in by.items()}
+    else:
+        sets = low.groupBy("host").agg(F.collect_set("what").alias(gone)).withColumnRenamed("host", "_of_host")
+        rows = rows.join(sets, F.col(host) == F.col("_of_host"), "left").drop("_of_host")
+    sent = pages.sparkSession.sparkContext.broadcast(told)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sources, lows = batch.column("_html").to_pylist(), batch.column("_low").to_pylist()
-            texts = [Page(s).text(frozenset(x or ())) for s, x in zip(sources, lows, strict=True)]
-            kept = batch.drop_columns(["_html", "_low"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(texts, pa.string())], [*kept.schema.names, "main_text"])
-
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in own), "main_text string"])
-    return joined.select(*own, F.coalesce(F.col(html_col), F.lit("")).alias("_html"), "_low").mapInArrow(extract, schema)
+            hosts, texts = batch.column(host).to_pylist(), []
+            for k, html in enumerate(batch.column(source)):  # one page at a time in Python's memory
+                low = sent.value.get(hosts[k], frozenset()) if few else frozenset(batch.column(gone)[k].as_py() or ())
+                texts.append(Page(html.as_py()).text(low))
+            kept = batch.select(own)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(texts, pa.string())], [*own, "main_text"])
+
+    schema = StructType([*pages.select(*quoted(own)).schema.fields, StructField("main_text", StringType())])
+    return rows.mapInArrow(extract, schema)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import html
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -692,6 +693,57 @@ def test_markup():
     assert html_extraction.Page("<p>1 < 2 &amp 3</p>").text() == "1 < 2 & 3"
 
 
+def test_hostile_pages_take_linear_time():
+    for part, end in (("<div>", ""), ("<a ", ""), ("<a '", ">"), ('<a "', ""), ("<p><ul>", ""), ("<div></p></b>", ""), ("<!--", ""), ("<script ", ""), ("&", ""), ("<div class='a b'>x", "")):
+        for n in (4000, 32_000):
+            began = time.process_time()
+            page = html_extraction.Page(part * n + end)
+            page.text()
+            assert time.process_time() - began < 4, (part, n)
+    assert len(html_extraction.Page("<div>" * 8000 + "x").styles) == 8000
+
+
+def test_importance_against_brute_force(spark):
+    """Entropies of texts and of child sequences at each path, worked out page by page."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(12):
+        body = f"<div class='a'>{rng.choice(['same', 'same', 'other'])}</div><div class='b'>{'<p>one</p>' * 1}{'<ul><li>x</ul>' * (k % 3 == 0)}own {k}</div>"
+        rows.append((k, "http://h.example/", f"<body>{body}</body>"))
+    got = {r["path"]: r for r in html_extraction.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+    def entropy(counts, base):
+        total = sum(counts.values())
+        return -sum(n / total * np.log(n / total) for n in counts.values()) / np.log(base)
+
+    for names in (("body", "div.a"), ("body", "div.b"), ("body", "div.b", "p"), ("body", "div.b", "ul", "li")):
+        path = html_extraction.path_id(names)
+        pages = [p for p in (html_extraction.Page(r[2]) for r in rows) if any(b[0] == path for b in p.blocks)]
+        texts = Counter(t for p in pages for t in {b[1] for b in p.blocks if b[0] == path})
+        shows = Counter(s for p in pages for s in p.styles[path])
+        many = len(pages)
+        # a text's entropy over the pages that have it, spread evenly
+        content = 1 - sum(n * np.log(n) for n in texts.values()) / sum(texts.values()) / np.log(many)
+        want = (1 - 0.9 ** len(shows)) * entropy(shows, many) + 0.9 ** len(shows) * content
+        assert got[path]["pages"] == many and got[path]["importance"] == pytest.approx(want), names
+    assert got[html_extraction.path_id(("body", "div.b"))]["importance"] > 0.5 > got[html_extraction.path_id(("body", "div.b", "p"))]["importance"]
+
+
+def test_pages_without_marked_articles(spark, monkeypatch):
+    """No article element and no telling names: the tree alone takes out what returns, on every host of some pages."""
+    rng = random.Random(13)
+    rows = []
+    for host, n in (("a", 40), ("b", 6), ("c", 3)):
+        for k in range(n):
+            rows.append((len(rows), f"https://{host}.example/{k}", f"<body><table><tr><td>Home<td>About {host}</table><div class='qx'><p>{prose(rng, 30)}<p>{prose(rng, 9)}</div><div class='zx'><p>All rights of {host}</div></body>", None, "x"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host_ string, html_ string")
+    for most in (html_extraction.LOW_MOST, 0):
+        monkeypatch.setattr(html_extraction, "LOW_MOST", most)
+        got = {r["page_id"]: r for r in html_extraction.main_text(pages).collect()}
+        for k, _, source, *_ in rows:
+            assert got[k]["main_text"].split("\n") == re.findall(r"<p>([^<]*)(?=<p>|</div><div)", source) and got[k]["html_"] == "x"
+
+
 def test_style_tree_takes_out_what_every_page_has(spark):
     rng = random.Random(1)
     rows = [(k, f"http://Site.example/{k}", f"<body><div class='x'>Every page says this</div><div class='y'><p>{prose(rng, 20)}</p></div></body>", "extra") for k in range(60)]
