@@ -69,7 +69,7 @@ class WordTokens(dict):
 
     USUAL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, remembered: int = 200_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
