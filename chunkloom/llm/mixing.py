@@ -149,7 +149,8 @@ targets AS (
   SELECT *, least(cap, (SELECT max(lvl) FROM levels) * w) AS target FROM levels),
 blocked AS (
   SELECT *, sum(target) OVER () AS budget,
-         greatest(1, least({BLOCK_WORDS}, floor(sum(target) OVER () / ({LEAST_BLOCKS} * count(*) OVER ()))))::BIGINT AS block FROM targets),
+         greatest(1, least({BLOCK_WORDS}, floor(sum(target) OVER () / ({LEAST_BLOCKS} * count(*) OVER ())),
+                  floor(min(target) FILTER (WHERE target > 0) OVER () / {LEAST_SEATS})))::BIGINT AS block FROM targets),
 quotients AS (
   SELECT b.ord, b.target / (2 * s.s - 1) AS q
   FROM blocked b, unnest(range(1, greatest(2, floor(3 * b.target / b.block)::BIGINT + 4))) AS s(s)),
