@@ -309,7 +309,18 @@ def stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.stride(profile.autocorrelation(rows, "v"))
 
 
-@query()
+@query(
+    f"""WITH {_EV}, x AS (SELECT batch_id, row_idx, 'v' AS column_name, ({_PERIODIC})::DOUBLE AS v FROM ev UNION ALL SELECT batch_id, row_idx, 'value', value::DOUBLE FROM ev),
+    h AS (SELECT *, row_number() OVER (PARTITION BY column_name, batch_id ORDER BY row_idx) AS k FROM x WHERE v IS NOT NULL),
+    y AS (SELECT column_name, batch_id, k, v - avg(v) OVER (PARTITION BY column_name, batch_id) AS y FROM h WHERE k <= 2048),
+    p AS (SELECT column_name, batch_id, count(*) AS n, sum(y * y) AS power FROM y GROUP BY ALL),
+    l AS (SELECT column_name, batch_id, power, unnest(range(1, least(greatest(n // 4, 3), 256))) AS lag FROM p WHERE n >= 8 AND power >= 1e-9),
+    a AS (SELECT l.column_name, l.batch_id, l.lag, sum(u.y * w.y) / any_value(l.power) AS acf FROM l JOIN y u USING (column_name, batch_id)
+      JOIN y w ON w.column_name = l.column_name AND w.batch_id = l.batch_id AND w.k = u.k - l.lag GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY column_name, batch_id ORDER BY round(acf, 9) DESC, lag) AS place FROM a),
+    s AS (SELECT p.column_name, p.batch_id, n > 100 AND coalesce(acf > 0.25 AND lag > 1, false) AS fixed, lag FROM p LEFT JOIN r ON r.column_name = p.column_name AND r.batch_id = p.batch_id AND r.place = 1)
+    SELECT column_name, batch_id, CASE WHEN fixed THEN 'FixedStride' ELSE 'Simple' END AS structure, (CASE WHEN fixed THEN lag ELSE 1 END)::INTEGER AS stride FROM s"""
+)
 def discover_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each batch looks like: by a made-up period of five, and by the values as they are."""
     rows = _events(spark, sf_dir).withColumn("v", F.expr(_PERIODIC).cast("double"))

@@ -283,27 +283,42 @@ def ans_frequencies(counts: np.ndarray, slots: int = _SLOTS) -> np.ndarray:
     return out
 
 
-_LANES = 64
+def ans_lanes(n: int) -> int:
+    """Lanes for n bytes: 64, and for long data as many as keep each lane at 2,048 bytes, so that steps don't grow with the data."""
+    return max(64, -(-n // 2048))
+
+
+def ans_least(data: bytes) -> int:
+    """A size that ``ans`` can't go below, from the entropy of the bytes alone.
+
+    A lane gives out a word for each 16 bits of information but the last 16, which stay
+    in its state; rounding its state down costs less than a tenth of the information.
+    """
+    n, counts = len(data), np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    used = counts[counts > 0]
+    bits = float(used @ np.log2(n / used)) if n else 0.0
+    return 10 + 3 * len(used) + 4 * ans_lanes(n) + max(0, int(0.9 * bits / 8) - 2 * ans_lanes(n))
 
 
 def ans(data: bytes) -> bytes:
     """Order-0 range asymmetric numeral system over 4096 slots.
 
-    Byte k is coded in lane k modulo 64, so that all lanes step together in numpy. Each
+    Byte k is coded in lane k modulo the lanes, so that all lanes step together in numpy. Each
     step of a lane takes in or gives out at most one 16-bit word, in one common stream.
-    Layout: length u64, symbols u16, (symbol u8, frequency u16) each, 64 states u32, words.
+    Layout: length u64, symbols u16, (symbol u8, frequency u16) each, a state u32 a lane, words.
     """
     x = np.frombuffer(data, np.uint8)
     freq = ans_frequencies(np.bincount(x, minlength=256))
     start = np.concatenate(([0], np.cumsum(freq)[:-1]))
     used = np.flatnonzero(freq)
     head = struct.pack("<QH", len(x), len(used)) + b"".join(struct.pack("<BH", s, freq[s]) for s in used)
-    steps = -(-len(x) // _LANES)
-    state = np.full(_LANES, _FLOOR, np.uint64)
+    lanes = ans_lanes(len(x))
+    steps = -(-len(x) // lanes)
+    state = np.full(lanes, _FLOOR, np.uint64)
     words = []
     f_of, s_of = freq.astype(np.uint64), start.astype(np.uint64)
     for step in range(steps - 1, -1, -1):
-        row = x[step * _LANES : (step + 1) * _LANES]
+        row = x[step * lanes : (step + 1) * lanes]
         lane = state[: len(row)]
         f, s = f_of[row], s_of[row]
         full = lane >= (f << np.uint64(32 - _SLOT_BITS))
@@ -320,7 +335,8 @@ def unans(data: bytes) -> bytes:
         raise CorruptData("no model")
     size, kinds = struct.unpack_from("<QH", data)
     at = 10 + 3 * kinds
-    if size > ANS_LIMIT or kinds < 2 or kinds > 256 or len(data) < at + 4 * _LANES or (len(data) - at) % 2:
+    lanes = ans_lanes(size)
+    if size > ANS_LIMIT or kinds < 2 or kinds > 256 or len(data) < at + 4 * lanes or (len(data) - at) % 2:
         raise CorruptData("no model")
     freq = np.zeros(256, np.int64)
     for k in range(kinds):
@@ -330,15 +346,15 @@ def unans(data: bytes) -> bytes:
         raise CorruptData("frequencies of another sum")
     start = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64)
     symbol = np.repeat(np.arange(256, dtype=np.uint8), freq)
-    state = np.frombuffer(data, "<u4", _LANES, at).astype(np.uint64)
-    stream = np.frombuffer(data, "<u2", -1, at + 4 * _LANES).astype(np.uint64)
+    state = np.frombuffer(data, "<u4", lanes, at).astype(np.uint64)
+    stream = np.frombuffer(data, "<u2", -1, at + 4 * lanes).astype(np.uint64)
     out, read, f_of = np.empty(size, np.uint8), 0, freq.astype(np.uint64)
-    for step in range(-(-size // _LANES)):
-        n = min(_LANES, size - step * _LANES)
+    for step in range(-(-size // lanes)):
+        n = min(lanes, size - step * lanes)
         lane = state[:n]
         slot = lane & np.uint64(_SLOTS - 1)
         got = symbol[slot.astype(np.int64)]
-        out[step * _LANES : step * _LANES + n] = got
+        out[step * lanes : step * lanes + n] = got
         lane = f_of[got] * (lane >> np.uint64(_SLOT_BITS)) + slot - start[got]
         low = np.flatnonzero(lane < _FLOOR)
         if len(low):

@@ -61,19 +61,17 @@ def encode_values(array: pa.Array, level: int) -> Chunk:
         data, now = planner.encode(chunk.plan, data, t), t.unsigned
     if array.null_count:
         mask = array.is_valid().cast(pa.uint8()).to_numpy(zero_copy_only=False).tobytes()
-        pipeline = planner.plan(mask, TYPES["UInt8"], "bool", level)
+        pipeline, chunk.streams["null_mask"] = planner.planned(mask, TYPES["UInt8"], "bool", level)
         chunk.plan.append({"op": "ExtractNulls", "stream": "null_mask", "pipeline": pipeline})
-        chunk.streams["null_mask"] = planner.encode(pipeline, mask, TYPES["UInt8"])
     if not data:
         return chunk
-    dense = planner.plan(data, now, kind, level)
-    main = planner.encode(dense, data, now)
+    dense, main = planner.planned(data, now, kind, level)
     x = k.values(data, now)
     zeros = float((x == 0).mean())
     if kind != "bool" and planner.ZEROS_LEAST <= zeros < 1:
         mask, rest = k.sparsify(data, now)
-        mask_plan, rest_plan = planner.plan(mask, TYPES["UInt8"], "bool", level), planner.plan(rest, now, kind, level)
-        small_mask, small = planner.encode(mask_plan, mask, TYPES["UInt8"]), planner.encode(rest_plan, rest, now)
+        mask_plan, small_mask = planner.planned(mask, TYPES["UInt8"], "bool", level)
+        rest_plan, small = planner.planned(rest, now, kind, level)
         if len(small) + len(small_mask) < len(main):
             chunk.plan.append({"op": "Sparsify", "stream": "sparsity_mask", "mask": mask_plan, "values": rest_plan})
             chunk.streams |= {"main": small, "sparsity_mask": small_mask}

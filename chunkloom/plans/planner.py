@@ -29,8 +29,6 @@ BEST = 3
 DICTIONARY_MOST = 256
 DELTA_KINDS_MOST = 8
 ZEROS_LEAST = 0.4
-#: The entropy coder steps through the data in Python; longer streams are left to Zstandard.
-ANS_MOST = 4 << 20
 
 
 # ---------------------------------------------------------------- operations and their types
@@ -205,16 +203,44 @@ def candidates(p: Profile, kind: str, level: int) -> list[Pipeline]:
     return [[*prefix, coder] for prefix in prefixes if prefix for coder in coders] + [[coder] for coder in coders]
 
 
-def cost(plan: Pipeline, data: bytes, t: ChunkType) -> float:
+def _made(plan: Pipeline, data: bytes, t: ChunkType, memo: dict) -> tuple[bytes, ChunkType] | None:
+    """What a pipeline makes of data, and its type; None where it can't take them. memo keeps what its beginnings made."""
+    if not plan:
+        return data, t
+    key = tuple(tuple(op.items()) for op in plan)
+    if key not in memo:
+        memo[key] = None
+        if (before := _made(plan[:-1], data, t, memo)) is not None:
+            try:
+                memo[key] = ENCODERS[plan[-1]["op"]](before[0], _mask(before[1]), plan[-1]), _after(plan[-1], before[1])
+            except ChunkloomError:
+                pass
+    return memo[key]
+
+
+def cost(plan: Pipeline, data: bytes, t: ChunkType, memo: dict | None = None) -> float:
     """Bytes that a pipeline makes of data; infinite where it can't take them."""
-    try:
-        for op, now in zip(plan, types_of(plan, t), strict=False):
-            if op["op"] == "Ans" and len(data) > ANS_MOST:
-                return float("inf")
-            data = ENCODERS[op["op"]](data, _mask(now), op)
-        return len(data)
-    except ChunkloomError:
-        return float("inf")
+    made = _made(plan, data, t, {} if memo is None else memo)
+    return float("inf") if made is None else len(made[0])
+
+
+def cheapest(options: list[Pipeline], data: bytes, t: ChunkType, keep: int, memo: dict) -> list[Pipeline]:
+    """The ``keep`` options that make data smallest, in order, ties by place; options that can't take the data are none.
+
+    The entropy coder is the slow one: it is run only on what it could make small enough by its least size.
+    """
+    inf = float("inf")
+    found, coded = [], []
+    for at, option in enumerate(options):
+        if option[-1]["op"] != "Ans":
+            found.append((cost(option, data, t, memo), at))
+        elif (before := _made(option[:-1], data, t, memo)) is not None:
+            coded.append((k.ans_least(before[0]), at))
+    found.sort()
+    for least, at in sorted(coded):
+        if len(found) < keep or least <= found[keep - 1][0]:
+            found = sorted([*found, (cost(options[at], data, t, memo), at)])
+    return [options[at] for size, at in found[:keep] if size < inf]
 
 
 def scores(data: bytes, t: ChunkType, kind: str, level: int, stride: int) -> list[tuple[Pipeline, float, float | None]]:
@@ -228,15 +254,35 @@ def scores(data: bytes, t: ChunkType, kind: str, level: int, stride: int) -> lis
     return [(c, small, cost(c, more, t) if at < BEST and small < float("inf") else None) for at, (small, _, c) in enumerate(tried)]
 
 
-def plan(data: bytes, t: ChunkType, kind: str, level: int, stride: int | None = None) -> Pipeline:
-    """The best pipeline for data of type t (integers; floats by their bits, with kind "float")."""
+def planned(data: bytes, t: ChunkType, kind: str, level: int, stride: int | None = None) -> tuple[Pipeline, bytes]:
+    """The best pipeline for data of type t (integers; floats by their bits, with kind "float"), and what it makes of them."""
     if not data:
-        return []
+        return [], b""
+    fallback: Pipeline = [{"op": "Zstd", "level": level}]
+    memo: dict = {}
     if kind == "bool":
         options: list[Pipeline] = [[{"op": "Rle"}], [{"op": "Rle"}, {"op": "Zstd", "level": level}], [{"op": "Rle"}, {"op": "Ans"}]]
-        return min(options, key=lambda c: cost(c, data, t))
-    x = k.values(data, t)
-    if stride is None:
-        stride = stride_of(x.view(f"<f{t.width}") if kind == "float" else x)
-    best = [(full, at, c) for at, (c, _, full) in enumerate(scores(data, t, kind, level, stride)) if full is not None and full < float("inf")]
-    return min(best, key=lambda x: x[:2])[2] if best else [{"op": "Zstd", "level": level}]
+        best, seen = cheapest(options, data, t, 1, memo), len(data)
+    else:
+        x = k.values(data, t)
+        if stride is None:
+            stride = stride_of(x.view(f"<f{t.width}") if kind == "float" else x)
+        p = profile(x, t, stride)
+        if p.constant:
+            best, seen = [[{"op": "Rle"}, *fallback]], 0
+        else:
+            head = data[: SAMPLE // t.width * t.width]
+            best, seen = cheapest(candidates(p, kind, level), head, t, 1 if len(head) == len(data) else BEST, memo), len(head)
+            if seen < len(data):
+                memo = {}
+                more = data[: FINAL_SAMPLE // t.width * t.width] if kind == "signed" else data
+                best, seen = cheapest(best, more, t, 1, memo), len(more)
+    chosen = best[0] if best else fallback
+    # what the last trial made of all the data is the result
+    made = _made(chosen, data, t, memo if seen == len(data) else {})
+    return chosen, encode(chosen, data, t) if made is None else made[0]
+
+
+def plan(data: bytes, t: ChunkType, kind: str, level: int, stride: int | None = None) -> Pipeline:
+    """The best pipeline for data of type t (integers; floats by their bits, with kind "float")."""
+    return planned(data, t, kind, level, stride)[0]

@@ -2,8 +2,8 @@
 
 A chunk is a row, so the manifest is a DataFrame: column pruning and key or batch
 filters are filters on rows that Parquet statistics prune. Layouts: ``none`` keeps
-the order, ``per_batch_relinearize`` sorts values by series within a batch, and
-``partitioned`` deals rows out by a key, in segments.
+the order, ``per_batch_relinearize`` sorts values by series within a batch, but for
+columns that this makes larger, and ``partitioned`` deals rows out by a key, in segments.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ from chunkloom.types import TYPES, chunk_type
 STRATEGIES = ("none", "per_batch_relinearize", "partitioned")
 CHUNK_SCHEMA = (
     "batch_id long, column_idx int, column_name string, partition_key long, segment long, num_rows long, null_count long, original_type string, "
-    "plan_json string, streams map<string,binary>, raw_bytes long, compressed_bytes long, min_value double, max_value double"
+    "plan_json string, streams map<string,binary>, raw_bytes long, compressed_bytes long, min_value double, max_value double, by_series boolean"
 )
 _ARROW_CHUNKS = pa.schema(
     [
         ("batch_id", pa.int64()), ("column_idx", pa.int32()), ("column_name", pa.string()), ("partition_key", pa.int64()), ("segment", pa.int64()), ("num_rows", pa.int64()), ("null_count", pa.int64()),
-        ("original_type", pa.string()), ("plan_json", pa.string()), ("streams", pa.map_(pa.string(), pa.binary())), ("raw_bytes", pa.int64()), ("compressed_bytes", pa.int64()), ("min_value", pa.float64()), ("max_value", pa.float64()),
+        ("original_type", pa.string()), ("plan_json", pa.string()), ("streams", pa.map_(pa.string(), pa.binary())), ("raw_bytes", pa.int64()), ("compressed_bytes", pa.int64()), ("min_value", pa.float64()), ("max_value", pa.float64()), ("by_series", pa.bool_()),
     ]
 )
 
@@ -118,8 +118,12 @@ def _span(array: pa.Array) -> tuple[float | None, float | None]:
     return (np.nextafter(a, -np.inf) if a > lo else a), (np.nextafter(b, np.inf) if b < hi else b)
 
 
+def _size(chunk: chunks.Chunk) -> int:
+    return sum(map(len, chunk.streams.values()))
+
+
 def encode_table(rows: pa.Table, names: list[str], types: list[str], level: int, batch_id: int, key: int | None = None, segment: int | None = None, series: tuple[str, str] | None = None) -> pa.Table:
-    """The chunks of one batch; with series (stream, time) the values of all other columns are put into that order."""
+    """The chunks of one batch; with series (stream, time) every other column is put into that order if that makes it smaller."""
     order = pc.sort_indices(rows.append_column("_at", pa.array(np.arange(len(rows)))), [(series[0], "ascending"), (series[1], "ascending"), ("_at", "ascending")], null_placement="at_start") if series else None
     out: dict[str, list] = {c: [] for c in _ARROW_CHUNKS.names}
     for k, (name, kind) in enumerate(zip(names, types, strict=True)):
@@ -131,12 +135,14 @@ def encode_table(rows: pa.Table, names: list[str], types: list[str], level: int,
             array = pa.array(column.to_numpy(zero_copy_only=False) if not column.null_count else column.fill_null(0).to_numpy(zero_copy_only=False)).cast(pa.int64())
             values = array.to_numpy().astype(np.int64).astype(raw.dtype)
             column = pa.array(values, mask=column.is_null().to_numpy(zero_copy_only=False)) if column.null_count else pa.array(values)
+        made, by_series = chunks.encode_values(column, level), None
         if order is not None and name not in series:
-            column = column.take(order)
-        made = chunks.encode_values(column, level)
+            other = chunks.encode_values(column.take(order), level)
+            by_series = _size(other) < _size(made)
+            made = other if by_series else made
         lo, hi = _span(column)
-        size = sum(map(len, made.streams.values()))
-        row = (batch_id, k, name, key, segment, len(column), column.null_count, kind, json.dumps(made.plan, separators=(",", ":")), list(made.streams.items()), TYPES[kind].width * len(column), size, lo, hi)
+        size = _size(made)
+        row = (batch_id, k, name, key, segment, len(column), column.null_count, kind, json.dumps(made.plan, separators=(",", ":")), list(made.streams.items()), TYPES[kind].width * len(column), size, lo, hi, by_series)
         for c, x in zip(out, row, strict=True):
             out[c].append(x)
     return pa.table({c: pa.array(out[c], _ARROW_CHUNKS.field(c).type) for c in out}, schema=_ARROW_CHUNKS)
@@ -177,7 +183,8 @@ def _chunk(row: dict) -> chunks.Chunk:
 
 def decode_table(rows: pa.Table, names: list[str], types: list[pa.DataType], needed: list[str], series: tuple[str, str] | None) -> pa.Table:
     """One batch's chunks as the wanted columns."""
-    found = {r["column_name"]: chunks.decode_values(_chunk(r)) for r in rows.to_pylist()}
+    listed = rows.to_pylist()
+    found = {r["column_name"]: chunks.decode_values(_chunk(r)) for r in listed}
     if missing := [n for n in needed if n not in found]:
         raise CorruptData(f"no chunk of {', '.join(missing)}")
     if len({len(a) for a in found.values()}) > 1:
@@ -187,7 +194,9 @@ def decode_table(rows: pa.Table, names: list[str], types: list[pa.DataType], nee
         order = pc.sort_indices(pa.table({"s": found[series[0]], "t": found[series[1]], "a": at}), [("s", "ascending"), ("t", "ascending"), ("a", "ascending")], null_placement="at_start")
         back = np.empty(len(order), np.int64)
         back[order.to_numpy()] = np.arange(len(order))
-        found = {n: a if n in series else a.take(pa.array(back)) for n, a in found.items()}
+        # tables written before columns could keep their order have no such mark
+        as_arrived = {*series, *(r["column_name"] for r in listed if r.get("by_series") is False)}
+        found = {n: a if n in as_arrived else a.take(pa.array(back)) for n, a in found.items()}
     out = {}
     for n, t in zip(names, types, strict=True):
         a = found[n]

@@ -72,6 +72,21 @@ def test_skewed_bytes_take_the_entropy_coder():
     assert planner.plan(x.tobytes(), TYPES["UInt8"], "unsigned", 3)[-1]["op"] == "Ans"
 
 
+@pytest.mark.parametrize("rows", [3, 200, 5_000, 90_000])
+def test_plan_is_the_best_of_all_candidates(rows):
+    """What is not run because it can't win changes no choice; the bytes are those of the plan."""
+    rng = np.random.default_rng(rows)
+    skewed = np.where(rng.random(rows) < 0.9, 3, rng.integers(0, 50, rows))
+    for x, t in [(skewed, "UInt8"), (rng.integers(0, 1 << 40, rows), "Int64"), (np.cumsum(rng.integers(0, 3, rows)), "Int32"), (rng.permutation(rows), "UInt32")]:
+        t = TYPES[t]
+        x = x.astype(t.dtype)
+        stride = planner.stride_of(x)
+        every = planner.scores(x.tobytes(), t, t.kind, 3, stride)
+        _, _, best = min((full, at, plan) for at, (plan, _, full) in enumerate(every) if full is not None and full < float("inf"))
+        chosen, made = planner.planned(x.tobytes(), t, t.kind, 3)
+        assert chosen == best and made == planner.encode(chosen, x.tobytes(), t)
+
+
 def test_stride():
     x = np.array([v for i in range(200) for v in (10.0 * i, -5.0 * i, 100.0, float(i), 0.0)])
     assert planner.stride_of(x) == 5

@@ -71,6 +71,20 @@ def test_entropy_coder(data):
             k.ans(data)
     else:
         assert k.unans(k.ans(data)) == data
+        assert k.ans_least(data) <= len(k.ans(data))
+
+
+@pytest.mark.parametrize("share", [0.001, 0.02, 0.3, 0.9])
+@pytest.mark.parametrize("n", [100, 5_000, 700_000])
+def test_entropy_coder_least_size_and_lanes(share, n):
+    """The least size holds, and long data take more lanes and come back."""
+    rng = np.random.default_rng(n)
+    data = np.where(rng.random(n) < share, rng.integers(0, 256, n), 7).astype(np.uint8)
+    data[0], data[1] = 1, 2
+    coded = k.ans(data.tobytes())
+    assert k.ans_lanes(n) == max(64, -(-n // 2048))
+    assert k.ans_least(data.tobytes()) <= len(coded)
+    assert k.unans(coded) == data.tobytes()
 
 
 def test_entropy_coder_size_and_truncation():

@@ -48,6 +48,22 @@ def test_round_trip(spark, rows, tmp_path, options, size):
     assert store.describe_store(spark, path)["options"]["strategy"] == options["strategy"].lower()
 
 
+def test_relinearized_columns_are_never_larger(spark, tmp_path):
+    """A column takes the order by series only where that is smaller; both kinds come back."""
+    rows = spark.range(4000).selectExpr("id", "abs(hash(id)) % 40 AS k", "id AS t").selectExpr("id", "CAST(k AS long) AS k", "t", "sqrt(k + 2) AS v")
+    sizes = {}
+    for options in LAYOUTS[:2]:
+        path = f"file://{tmp_path}/{options['strategy']}"
+        store.write_store(rows, path, ["id"], chunk_size_rows=1000, **options)
+        equal(store.read_store(spark, path), rows)
+        sizes[options["strategy"]] = {(r["batch_id"], r["column_name"]): r for r in store.read_manifest(spark, path).collect()}
+    plain, sorted_ = sizes["none"], sizes["Per_Batch_Relinearize"]
+    assert all(sorted_[at]["compressed_bytes"] <= plain[at]["compressed_bytes"] for at in plain)
+    assert {r["by_series"] for at, r in sorted_.items() if at[1] == "id"} == {False}
+    assert {r["by_series"] for at, r in sorted_.items() if at[1] == "v"} == {True}
+    assert {r["by_series"] for r in plain.values()} == {None}
+
+
 def test_empty_table(spark, rows, tmp_path):
     for options in LAYOUTS:
         path = f"file://{tmp_path}/{options['strategy']}"
