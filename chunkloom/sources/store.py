@@ -9,6 +9,7 @@ columns that this makes larger, and ``partitioned`` deals rows out by a key, in
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -39,6 +40,10 @@ _ARROW_CHUNKS = pa.schema(
 )
 
 
+#: Segments whose chunks leave a task together, and bytes of chunks beyond which fewer do.
+_TOGETHER, _TOGETHER_BYTES = 64, 4 << 20
+
+
 @dataclass(frozen=True)
 class Options:
     """How a table is stored; values as users write them, any case."""
@@ -118,6 +123,30 @@ def _span(array: pa.Array) -> tuple[float | None, float | None]:
     return (np.nextafter(a, -np.inf) if a > lo else a), (np.nextafter(b, np.inf) if b < hi else b)
 
 
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows with equal integer keys (nulls are equal too), of rows that are sorted by them; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows - 1, bool)
+        for key in keys:
+            valid = batch[key].is_valid().to_numpy(zero_copy_only=False)
+            values = batch[key].fill_null(0).to_numpy(zero_copy_only=False)
+            new |= (values[1:] != values[:-1]) | (valid[1:] != valid[:-1])
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for at, end in zip(edges, edges[1:], strict=False):
+            own = tuple(batch[key][at].as_py() for key in keys)
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+            last = own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _size(chunk: chunks.Chunk) -> int:
     return sum(map(len, chunk.streams.values()))
 
@@ -148,6 +177,11 @@ def encode_table(rows: pa.Table, names: list[str], types: list[str], level: int,
     return pa.table({c: pa.array(out[c], _ARROW_CHUNKS.field(c).type) for c in out}, schema=_ARROW_CHUNKS)
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over all shuffle partitions: coding costs far more than its bytes tell, by which small ones would be merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def encoded(df: DataFrame, options: Options, order_by: list[str]) -> DataFrame:
     """The chunk table of df; order_by is the total order that the rows have."""
     options = options.checked(df.schema)
@@ -159,19 +193,26 @@ def encoded(df: DataFrame, options: Options, order_by: list[str]) -> DataFrame:
         rows = rows.where(F.col(key).isNotNull()) if options.null_keys == "drop" else rows
         rows = layout.salted_segments(rows, key, options.partition_flush_rows).withColumn("_key", F.col(key).cast("long"))
 
-        def each_segment(group: pa.Table) -> pa.Table:
-            group = group.sort_by([("pos", "ascending")])
-            key_, segment = group["_key"][0].as_py(), group["segment"][0].as_py()
-            return encode_table(group, names, types, level, segment, key_, segment)
-
-        return rows.groupBy("_key", "segment").applyInArrow(each_segment, CHUNK_SCHEMA)
+        def each_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made: list[pa.Table] = []
+            for group in runs(batches, ["_key", "segment"]):
+                key_, segment = group["_key"][0].as_py(), group["segment"][0].as_py()
+                made.append(encode_table(group, names, types, level, segment, key_, segment))
+                if len(made) == _TOGETHER or sum(t.nbytes for t in made) > _TOGETHER_BYTES:
+                    yield from pa.concat_tables(made).combine_chunks().to_batches()
+                    made = []
+            if made:
+                yield from pa.concat_tables(made).combine_chunks().to_batches()
+
+        # a segment is never larger than partition_flush_rows, so a key of any size is spread over tasks
+        return _spread(rows, "_key", "segment").sortWithinPartitions("_key", "segment", "pos").mapInArrow(each_task, CHUNK_SCHEMA)
     series = (options.stream_id_column, options.timestamp_column) if options.strategy == "per_batch_relinearize" else None
 
     def each_batch(group: pa.Table) -> pa.Table:
         group = group.sort_by([("row_idx", "ascending")])
         return encode_table(group, names, types, level, group["batch_id"][0].as_py(), series=series)
 
-    return batched(physical, order_by, options.chunk_size_rows).groupBy("batch_id").applyInArrow(each_batch, CHUNK_SCHEMA)
+    return _spread(batched(physical, order_by, options.chunk_size_rows), "batch_id").groupBy("batch_id").applyInArrow(each_batch, CHUNK_SCHEMA)
 
 
 def _chunk(row: dict) -> chunks.Chunk:
@@ -278,7 +319,7 @@ def read_store(spark: SparkSession, path: str, columns: list[str] | None = None,
     def decode(group: pa.Table) -> pa.Table:
         return decode_table(group, wanted, arrow, needed, series)
 
-    rows = table.groupBy("batch_id", "partition_key").applyInArrow(decode, physical)
+    rows = _spread(table, "batch_id", "partition_key").groupBy("batch_id", "partition_key").applyInArrow(decode, physical)
     return _logical(rows, T.StructType(fields))
 
 

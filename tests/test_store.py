@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +65,24 @@ def test_relinearized_columns_are_never_larger(spark, tmp_path):
     assert {r["by_series"] for r in plain.values()} == {None}
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_runs_span_batches(size):
+    """Runs of equal keys, null keys among them, wherever batches end; empty batches are none."""
+    keys = [None, None, 0, 0, 0, 0, 0, 3, 3, 4, 4, 4, 4, 4, 9]
+    parts = [0, 1, 0, 0, 1, 1, 1, 0, 0, 0, 0, 0, 0, 2, 2]
+    rows = pa.table({"k": pa.array(keys, pa.int64()), "s": pa.array(parts, pa.int64()), "at": list(range(len(keys)))})
+    batches = [rows.slice(0, 0).to_batches(), *[rows.slice(at, size).to_batches() for at in range(0, len(keys), size)]]
+    got = [t["at"].to_pylist() for t in store.runs([b for x in batches for b in x], ["k", "s"])]
+    want: list[list[int]] = []
+    for at in range(len(keys)):
+        if at and (keys[at], parts[at]) == (keys[at - 1], parts[at - 1]):
+            want[-1].append(at)
+        else:
+            want.append([at])
+    assert got == want
+    assert list(store.runs([], ["k"])) == []
+
+
 def test_empty_table(spark, rows, tmp_path):
     for options in LAYOUTS:
         path = f"file://{tmp_path}/{options['strategy']}"
